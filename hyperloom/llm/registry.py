@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name: function of (spark, sf_dir)) and ORACLE (name: SQL).
-MODULES = ("fingerprint",)
+MODULES = ("fingerprint", "jaccard_join")
 
 
 def _each(attribute: str) -> dict:
