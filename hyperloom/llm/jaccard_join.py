@@ -3,14 +3,16 @@
 A document is the set of its runs of five words (lower case; a word is a run of letters and digits).
 Two different texts are linked if the Jaccard similarity of their sets is 0.8 or more.
 
-Search (chosen paths). Every run of the search samples tokens of each set at a rate of TAU / size, by
-the token's own hash, so two similar sets choose the same tokens; a chosen token is a path, and the
-documents on one path are a bucket. The number of runs follows from the target recall. A bucket of at
-most BUCKET documents is compared by brute force. A larger one is compared inside blocks of that size,
-where documents much alike collapse onto a leader, and the leaders are split further by tokens sampled
-anew for that path, until all buckets are small; what no split makes small is compared block against
-block. Comparison here is by a sketch (the SKETCH least token hashes relative to size), with a margin
-below the threshold, and yields candidate components.
+Search (chosen paths). Every run of the search samples tokens of each set at a rate of 1 / threshold
+over its size, by the token's own hash, so two similar sets choose the same tokens; a chosen token is a
+path, and the documents on one path are a bucket. The number of runs follows from the target recall. A
+bucket of at most BUCKET documents is compared by brute force; a larger one inside blocks of that size,
+and then it is split: each document goes on along tokens sampled anew, at the same rate, by the path's
+own hash. At this rate similar pairs stay together while others drift apart, so buckets shrink; what
+LEVELS splits don't make small is compared block against block. Comparison here is by a sketch (the
+SKETCH least token hashes relative to size), with a margin below the threshold. Its links connect
+documents to candidate components, and a bucket that lies inside one component is not compared or split
+again: a large group of near copies is connected by a number of comparisons in proportion to its size.
 
 Check. Inside each candidate component every pair of different texts is compared exactly, in blocks
 of a matrix product, each text's set sent once per block pair. This gives each text's number of links
@@ -40,13 +42,16 @@ from hyperloom.llm.shared import Work, small_batches, table, text_column
 THRESHOLD = 0.8
 RECALL = 0.99999
 TAU = 1.25
-SPLIT = 3.0
 SKETCH = 64
 BUCKET = 400
 LEVELS = 8
 BLOCK = 512
-#: Sketch similarity from which two documents are joined for the exact check, and from which one stands for the other.
-JOINED, LED = 0.45, 0.85
+#: Paths of the first runs, whose components spare the others most of their buckets.
+FIRST = 3
+#: Splits done at once: a bucket is split by this many sampled tokens in turn before it is looked at again.
+DEPTH = 2
+#: Sketch similarity from which two documents go to the exact check together.
+JOINED = 0.45
 
 
 def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -76,20 +81,19 @@ def token_sets(column: pa.Array):
 
 
 def _describe(chosen: float):
-    """Per row: a digest of the text, its set's size, the chosen paths, and the sketch."""
+    """Per row (id, digest, text): id, digest, the size of the text's set, the chosen paths, and the sketch."""
     cut = lambda rate, size: np.uint64(min(2**64 - 1, int(rate / size * 2.0**64)))
 
     def run(batches):
         for batch in batches:
-            keys = [hashlib.blake2b((x or "").encode(), digest_size=16).digest() for x in batch.column(1).to_pylist()]
             sizes, paths, sketches = [], [], []
-            for tokens in token_sets(batch.column(1)):
+            for tokens in token_sets(batch.column(2)):
                 hashes = np.sort(tk.mix(tokens))
                 sizes.append(len(hashes))
                 paths.append(hashes[: np.searchsorted(hashes, cut(chosen, len(hashes)), "right")].view(np.int64))
                 kept = hashes[: np.searchsorted(hashes, cut(SKETCH, len(hashes)), "right")]
-                sketches.append((kept >> np.uint64(32)).astype(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "key", "size", "paths", "sketch"])
+                sketches.append((kept >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "key", "size", "paths", "sketch"])
 
     return run
 
@@ -106,82 +110,113 @@ def _alike(a, b) -> float:
     return both / max(every, both)
 
 
-def _lead(batches):
-    """Buckets (rows of equal path and block, in sequence) to edges and to the leaders that remain.
+def _connect(batches):
+    """Buckets (rows of equal path and block, in sequence) to edges that connect their components.
 
-    Rows: path, block, id, size, sketch, and whether the bucket goes on to be split.
+    Rows: path, block, id, component, size, sketch. A document is compared with those of other
+    components only, and with those of a component until one is alike.
     """
-    at, leaders = None, []
+    at, groups, parent = None, {}, {}
+
+    def top(x):
+        while (up := parent.setdefault(x, x)) != x:
+            x = up
+        return x
+
     for batch in batches:
-        edges_u, edges_v, on_path, on_id = [], [], [], []
-        paths, blocks, ids, sizes, more = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
-        sketches = batch.column(4)
-        values, ends = sketches.flatten().to_numpy(), np.asarray(sketches.offsets) - sketches.offsets[0].as_py()
+        us, vs = [], []
+        paths, blocks, ids, own, sizes = (batch.column(i).to_pylist() for i in range(5))
+        sketches = batch.column(5)
+        values, ends = sketches.flatten().to_numpy().view(np.uint32), np.asarray(sketches.offsets) - sketches.offsets[0].as_py()
         for i, where in enumerate(zip(paths, blocks, strict=True)):
             if where != at:
-                at, leaders = where, []
+                at, groups, parent = where, {}, {}
             sketch = values[ends[i] : ends[i + 1]]
-            own = (sizes[i], sketch, frozenset(sketch.tolist()), ids[i])
-            near, led = [], False
-            for other in leaders:
-                score = _alike(own, other)
-                if score >= JOINED:
-                    near.append(other[3])
-                    if score >= LED:
-                        led = True
+            one = (sizes[i], sketch, frozenset(sketch.tolist()), ids[i])
+            mine = top(own[i])
+            for root in [x for x in groups if x != mine]:
+                for other in groups[root]:
+                    if _alike(one, other) >= JOINED:
+                        us.append(one[3])
+                        vs.append(other[3])
+                        parent[root] = mine
+                        groups[mine] = groups.get(mine, []) + groups.pop(root)
                         break
-            edges_u += [ids[i]] * len(near)
-            edges_v += near
-            if not led:
-                leaders.append(own)
-                if more[i]:
-                    on_path.append(paths[i])
-                    on_id.append(ids[i])
-        n, m = len(edges_u), len(on_path)
-        if n + m:
-            yield pa.record_batch([pa.array([True] * n + [False] * m), pa.array(edges_u + on_id, pa.int64()), pa.array(edges_v + on_path, pa.int64())], ["edge", "u", "v"])
+            groups.setdefault(mine, []).append(one)
+        if us:
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def _split(batches):
-    """Leaders of large buckets to longer paths: tokens sampled anew by the path's own hash."""
+    """Documents of large buckets to longer paths: tokens sampled anew by the path's own hash, DEPTH times."""
     for batch in batches:
         paths, ids, sizes, sketches = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
         ends = np.asarray(sketches.offsets) - sketches.offsets[0].as_py()
-        row = np.repeat(np.arange(len(ids)), np.diff(ends))
-        values = sketches.flatten().to_numpy().astype(np.uint64)
-        child = tk.mix(paths.view(np.uint64)[row] ^ tk.mix(values + np.uint64(7)))
-        rate = SPLIT / np.minimum(SKETCH, sizes)
-        taken = (tk.mix(child + np.uint64(3)) >> np.uint64(11)) * 2.0**-53 < rate[row]
-        yield pa.record_batch([pa.array(child[taken].view(np.int64)), pa.array(ids[row[taken]])], ["path", "id"])
+        values = sketches.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        rate = TAU / np.minimum(SKETCH, sizes)
+        doc, path = np.arange(len(ids)), paths.view(np.uint64)
+        for _ in range(DEPTH):
+            n = np.diff(ends)[doc]
+            row = np.repeat(np.arange(len(doc)), n)
+            token = np.repeat(ends[doc] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            child = tk.mix(path[row] ^ tk.mix(values[token] + np.uint64(7)))
+            taken = (tk.mix(child + np.uint64(3)) >> np.uint64(11)) * 2.0**-53 < rate[doc[row]]
+            doc, path = doc[row[taken]], child[taken]
+        yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(ids[doc])], ["path", "id"])
+
+
+def _parts(spark: SparkSession) -> int:
+    """Tasks of a comparison: as many as other shuffles have, whatever the size of their rows."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _candidates(reps: DataFrame, work: Work) -> DataFrame:
-    """Edges (u, v) between representatives whose sketches are alike, as spanning each bucket."""
-    sketches = reps.select("id", "size", "sketch")
-    entries = reps.select(F.explode("paths").alias("path"), "id")
-    edges = None
-    for level in range(LEVELS + 1):
-        counts = entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        last = level == LEVELS
+    """(id, root) of the representatives that sketches connect with others."""
+    spark = reps.sparkSession
+    # Only documents that share a path go on; the first sharing is found on ids and paths alone.
+    every = reps.select("id", F.posexplode("paths").alias("at", "path"))
+    shared = every.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    shared = work.keep(every.join(shared, "path").select("path", "id", (F.col("at") < FIRST).alias("first")))
+    sketches = work.keep(reps.select("id", "size", "sketch").hint("merge").join(shared.select("id").distinct(), "id"))
+    fresh = [shared.where("first").select("path", "id"), shared.where("not first").select("path", "id")]
+    roots, entries, level = None, fresh.pop(0), 0
+
+    def mixed(found: DataFrame) -> DataFrame:
+        """The entries of buckets that hold two components or more, with their component and the bucket's count."""
+        if roots is not None:
+            found = found.join(roots, "id", "left").select("path", "id", F.coalesce("root", "id").alias("own"))
+        else:
+            found = found.select("path", "id", F.col("id").alias("own"))
+        counts = found.groupBy("path").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+        return found.join(counts.where("low <> high").select("path", "n"), "path")
+
+    while True:
         blocks = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
-        placed = entries.join(counts, "path").withColumn("blocks", blocks)
-        own = F.pmod(F.xxhash64("id", "path"), F.col("blocks")).cast("int")
+        placed = work.keep(mixed(entries).select("path", "id", "own", blocks.alias("blocks")))
+        block = F.pmod(F.xxhash64("id", "path", F.lit(level)), F.col("blocks")).cast("int")
+        rows = placed.withColumn("block", block)
+        last = level >= LEVELS
         if last:  # no split made these small: every pair of blocks is one bucket
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            placed = placed.withColumn("own", own).withColumn("other", other).select("path", "id", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), F.lit(False).alias("more"))
-        else:
-            placed = placed.select("path", "id", own.alias("block"), (F.col("blocks") > 1).alias("more"))
-        rows = placed.join(sketches, "id").select("path", "block", "id", "size", "sketch", "more")
-        rows = rows.repartition("path", "block").sortWithinPartitions("path", "block", F.xxhash64("id", "path"))
-        found = work.keep(rows.mapInArrow(_lead, "edge boolean, u long, v long"))
-        here = found.where("edge").select("u", "v")
-        edges = here if edges is None else edges.union(here)
-        left = found.where("not edge").select(F.col("v").alias("path"), F.col("u").alias("id"))
-        if last or left.isEmpty():
-            return edges
-        more = left.join(sketches, "id").select("path", "id", "size", "sketch")
-        entries = work.keep(more.mapInArrow(_split, "path long, id long"))
-    return edges
+            rows = rows.withColumn("other", other).withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+        rows = rows.hint("merge").join(sketches, "id").select("path", "block", "id", "own", "size", "sketch")
+        rows = rows.repartition(_parts(spark), "path", "block").sortWithinPartitions("path", "block", "own", "id")
+        found = work.keep(rows.mapInArrow(_connect, "u long, v long"))
+        if roots is None or not found.isEmpty():
+            roots = components(found if roots is None else roots.union(found).toDF("u", "v"), work)
+        large = placed.where("blocks > 1").select("path", "id")
+        level += 1
+        more = None
+        if not last and not large.isEmpty():
+            more = mixed(large).hint("merge").join(sketches, "id").select("path", "id", "size", "sketch").mapInArrow(_split, "path long, id long")
+        if fresh:
+            more = fresh[0] if more is None else more.union(fresh[0])
+            fresh.pop()
+        if more is None:
+            return roots
+        entries = work.keep(more)
+        if entries.isEmpty():
+            return roots
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -263,52 +298,75 @@ def _verify(threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, copy_of, n_copies.
+def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc_id, key, text): key is a digest that stands for the text."""
+    value = text_column(text)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(value.cast("binary"))).alias("key"), value.alias("text"))
 
-    class_id: the least id among the documents that links and equality of texts connect with this one.
-    n_links: different texts (not copies of them) linked with this one. copy_of: the least id with this
-    text. n_copies: rows with this text.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    work = Work(spark, "jaccard")
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    described = work.keep(docs.mapInArrow(_describe(runs_for(threshold, recall) * TAU), "doc_id long, key binary, size int, paths array<long>, sketch array<long>"))
+
+def _joined(keyed: DataFrame, work: Work, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key) and classes of equal texts (key, least, n, root, class_id, n_links)."""
+    spark = keyed.sparkSession
+    described = work.keep(keyed.mapInArrow(_describe(runs_for(threshold, recall) * TAU), "doc_id long, key binary, size int, paths array<long>, sketch array<int>"))
+    rows = described.select("doc_id", "key")
     # Classes of equal texts, under the least id, or under a number from the digest where ids don't tell rows apart.
-    seen = described.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    plain = seen.rows == seen.ids
+    seen = rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    plain = seen["rows"] == seen["ids"]
     own = F.col("least") if plain else F.xxhash64("key")
-    classes = work.keep(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min_by(F.struct("size", "paths", "sketch"), F.col("size")).alias("x")).select("key", "least", own.alias("id"), "n", "x.size", "x.paths", "x.sketch"))
-    near = components(_candidates(classes, work).where("u <> v"), work)
-    near = work.keep(near.join(classes.select("id", "key"), "id").select("id", "root", "key"))
+    classes = described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first(F.struct("size", "paths", "sketch")).alias("x"))
+    classes = work.keep(classes.select("key", "least", own.alias("id"), "n", "x.size", "x.paths", "x.sketch"))
+    near = work.keep(_candidates(classes, work).join(classes.select("id", "key"), "id").select("id", "root", "key"))
     # Exact check: each component's texts, in pairs of blocks.
     counts = near.groupBy("root").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    placed = near.join(counts, "root").select("id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    placed = near.join(counts, "root").select("id", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     if plain:
-        texts = placed.join(texts, "id")
+        texts = keyed.select(F.col("doc_id").alias("id"), "text").hint("merge").join(placed, "id")
     else:
-        keyed = docs.mapInArrow(_keyed, "key binary, text string").groupBy("key").agg(F.any_value("text").alias("text"))
-        texts = placed.join(near.select("id", "key"), "id").join(keyed, "key").drop("key")
+        texts = keyed.groupBy("key").agg(F.any_value("text").alias("text")).join(placed, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = texts.withColumn("other", other).select("root", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "id", "own", "text")
-    spread = spread.repartition("root", "first", "second").sortWithinPartitions("root", "first", "second", "id")
+    spread = spread.repartition(_parts(spark), "root", "first", "second").sortWithinPartitions("root", "first", "second", "id")
     verified = work.keep(spread.mapInArrow(_verify(threshold), "id long, other long, links long"))
     roots = components(verified.select(F.col("id").alias("u"), F.col("other").alias("v")).where("u <> v"), work)
     links = verified.groupBy("id").agg(F.sum("links").alias("n_links"))
-    named = classes.select("key", "id", "least", "n").join(roots, "id", "left").join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    if not plain:
-        named = named.drop("id").join(named.groupBy("root").agg(F.min("least").alias("id")), "root").withColumn("root", F.col("id"))
-    named = named.select("key", F.col("root").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("least").alias("copy_of"), F.col("n").alias("n_copies"))
-    return described.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
+    named = classes.select("key", "id", "least", "n").join(roots, "id", "left").join(links, "id", "left")
+    named = named.withColumn("root", F.coalesce("root", "id")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    if plain:
+        return rows, named.withColumn("class_id", F.col("root"))
+    named = work.keep(named)
+    return rows, named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root")
 
 
-def _keyed(batches):
-    for batch in batches:
-        keys = [hashlib.blake2b((x or "").encode(), digest_size=16).digest() for x in batch.column(1).to_pylist()]
-        yield pa.record_batch([pa.array(keys, pa.binary()), batch.column(1)], ["key", "text"])
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, copy_of, n_copies.
+
+    class_id: the least id among the documents that links and equality of texts connect with this one.
+    n_links: different texts (not copies of them) linked with this one. copy_of: the least id with this
+    text. n_copies: rows with this text.
+    """
+    small_batches(docs.sparkSession)
+    rows, classes = _joined(_keyed(docs, id_column, text), Work(docs.sparkSession, "jaccard"), threshold, recall)
+    classes = classes.select("key", "class_id", "n_links", F.col("least").alias("copy_of"), F.col("n").alias("n_copies"))
+    return rows.join(classes, "key").select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, less all but one of each group: the one with the least id (nulls last), then the least digest.
+
+    Of rows equal in id and text one stays.
+    """
+    small_batches(docs.sparkSession)
+    work = Work(docs.sparkSession, "jaccard")
+    rows, classes = _joined(_keyed(docs, id_column, text), work, threshold, recall)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key"))
+    kept = work.keep(classes.groupBy("root").agg(first.alias("x")).select(F.col("x.key").alias("_key"), F.col("x.least").alias("_least")))
+    keyed = docs.withColumn("_key", F.unhex(F.md5(text_column(text).cast("binary"))))
+    out = keyed.hint("merge").join(kept, (keyed["_key"] == kept["_key"]) & keyed[id_column].cast("long").eqNullSafe(kept["_least"]), "left_semi")
+    again = rows.groupBy("doc_id", "key").count().where("count > 1")
+    if not again.isEmpty():  # rows equal in id and text
+        out = out.dropDuplicates([id_column, "_key"])
+    return out.drop("_key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
