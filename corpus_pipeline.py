@@ -1,7 +1,67 @@
-"""The corpus pipeline: one pass of filters over `documents`, then a weighted mix."""
+"""The corpus pipeline: filters over `documents`, personal data taken out, then a weighted mix.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir) that works on all rows its predecessor kept. All but
+the last return the columns of docs, whatever they are; the last returns one row per document taken,
+with the columns of docs and the mix's figures.
 
+Rows with null or empty texts are judged like any other; repeated rows are near duplicates of each other,
+so one stays; an empty table passes through every stage as an empty table.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hyperloom.llm import decontaminate, jaccard_join, mixing, pii, quality
+from hyperloom.llm.shared import Work, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fitted(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return quality.accepted(docs, model)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram Jaccard join connects: the one with the least id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars, where there, follows the text."""
+    out = pii.redact(docs, pii.train())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their size and the words taken of each."""
+    return mixing.taken(docs, F.array("source"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("personal data", personal_data_stage),
+    ("mixing sources to target weights", mixing_stage),
+]
+
+#: Stages run models and exact set comparisons that SQL can't express; tests hold them against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to `documents`, each written and read again."""
+    work = Work(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

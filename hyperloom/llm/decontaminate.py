@@ -182,6 +182,23 @@ def shards(items: DataFrame) -> list[Index]:
     return [Index(g, len(every), mean, terms, df) for g in groups if g]
 
 
+def _matches(parts: list, column: pa.Array, theta: float) -> tuple[list[set], list[float], list[float]]:
+    """Items found in each text, the best score and the best overlap among them."""
+    data, offsets = tk.arrow_bytes(column)
+    n = len(offsets) - 1
+    found, score, overlap = [set() for _ in range(n)], [0.0] * n, [0.0] * n
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tk.BLOCK, "right")) - 1)
+        words, rows = tk.word_hashes(tk.lowered(data[offsets[at] : offsets[to]]), offsets[at : to + 1] - offsets[at])
+        for part in parts:
+            for r, h, s, o in part.value.documents(words, rows, theta):
+                found[at + r].add(part.value.segments[h].item_id)
+                score[at + r], overlap[at + r] = max(score[at + r], s), max(overlap[at + r], o)
+        at = to
+    return found, score, overlap
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, best_score, best_overlap."""
     spark = docs.sparkSession
@@ -191,23 +208,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     def run(batches):
         for batch in batches:
-            data, offsets = tk.arrow_bytes(batch.column(1))
-            n = len(offsets) - 1
-            found, score, overlap = [set() for _ in range(n)], [0.0] * n, [0.0] * n
-            at = 0
-            while at < n:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tk.BLOCK, "right")) - 1)
-                words, rows = tk.word_hashes(tk.lowered(data[offsets[at] : offsets[to]]), offsets[at : to + 1] - offsets[at])
-                for part in parts:
-                    for r, h, s, o in part.value.documents(words, rows, theta):
-                        found[at + r].add(part.value.segments[h].item_id)
-                        score[at + r], overlap[at + r] = max(score[at + r], s), max(overlap[at + r], o)
-                at = to
-            yield pa.record_batch([batch.column(0), pa.array([bool(x) for x in found]), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(score), pa.array(overlap, pa.float64())], ["doc_id", "contaminated", "item_ids", "best_score", "best_overlap"])
+            found, score, overlap = _matches(parts, batch.column(1), theta)
+            yield pa.record_batch([batch.column(0), pa.array([bool(x) for x in found], pa.bool_()), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(score, pa.float64()), pa.array(overlap, pa.float64())], ["doc_id", "contaminated", "item_ids", "best_score", "best_overlap"])
 
     return docs.mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, best_score double, best_overlap double")
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", theta: float = THETA) -> DataFrame:
+    """The rows, with all their columns, in which no item is found."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = [spark.sparkContext.broadcast(x) for x in shards(items)]
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in _matches(parts, batch.column(place), theta)[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
     return decontaminate(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))

@@ -103,16 +103,19 @@ def weights_of(sources: list) -> dict:
     return {s: 1 + i % 3 for i, s in enumerate(ordered)}
 
 
-def mix(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=weights_of, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: doc_id, sources, size, source_size, target, taken.
+def _measured(docs: DataFrame, id_column, sources, text: str, seed: str, *more) -> DataFrame:
+    """Sources, size and draw of each document, with further columns."""
+    key = F.col(id_column).cast("long")
+    draw = F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary"))
+    return docs.select(key.alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), F.regexp_count(text_column(text), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), *more)
 
-    sources: a column with an array of a document's sources. source_size and target are sums over them.
+
+def plan(docs: DataFrame, weights=weights_of, share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
+    """Per membership pattern of measured documents: source_size, target, whole repetitions, and the last (draw, doc_id, size) of the last part.
+
+    At most MAX_PATTERNS rows.
     """
     spark = docs.sparkSession
-    work = Work(spark, "mixing")
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), F.regexp_count(text_column(text), F.lit(WORD)).cast("long").alias("size"))
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    docs = work.keep(docs.withColumn("draw", hashed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
     rows = docs.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -121,22 +124,54 @@ def mix(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text",
     for pattern, size in words.items():
         for s in pattern:
             sizes[s] = sizes.get(s, 0) + size
-    total = int(sum(words.values()) * Fraction(share))
-    wanted = targets(sizes, weights(list(sizes)), total, repeats)
+    wanted = targets(sizes, weights(list(sizes)), int(sum(words.values()) * Fraction(share)), repeats)
     flow: dict = {}
     for (pattern, _), n in route(words, {s: round(t) for s, t in wanted.items()}, repeats).items():
         flow[pattern] = flow.get(pattern, 0) + n
-    plan = [(x.sources, sum(sizes[s] for s in x.sources), float(sum(wanted[s] for s in x.sources)), *divmod(flow.get(frozenset(x.sources), 0), x["size"] or 1)) for x in rows]
-    plan = spark.createDataFrame(plan, "sources array<string>, source_size long, target double, whole long, part long")
+    made = [(x.sources, sum(sizes[s] for s in x.sources), float(sum(wanted[s] for s in x.sources)), *divmod(flow.get(frozenset(x.sources), 0), x["size"] or 1)) for x in rows]
+    made = spark.createDataFrame(made, "sources array<string>, source_size long, target double, whole long, part long")
     # Words of the slices before a slice, and of the documents before a document in its slice.
     slices = docs.groupBy("sources", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sources").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("sources", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    slices = slices.select("sources", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"), "words")
+    # Only the slice in which a part ends is ordered by document; those before it are taken whole.
+    ends = slices.join(F.broadcast(made.select("sources", "part")), "sources").where("part > 0 and before <= part")
+    ends = ends.groupBy("sources", "part").agg(F.max_by(F.struct("slice", "before"), "slice").alias("x")).select("sources", "part", "x.slice", "x.before")
     inside = Window.partitionBy("sources", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = docs.withColumn("upto", F.sum("size").over(inside)).join(slices, ["sources", "slice"]).join(F.broadcast(plan), "sources")  # MAX_PATTERNS rows
-    # The last part ends with the document whose middle is still inside it.
-    more = (F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("part")) & (F.col("part") > 0)
-    return placed.select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * (F.col("whole") + more.cast("long"))).alias("taken"))
+    last = docs.select("sources", "slice", "draw", "doc_id", "size").join(F.broadcast(ends), ["sources", "slice"]).withColumn("upto", F.sum("size").over(inside))
+    # The part ends with the document whose middle is still inside it.
+    last = last.where(F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("part"))
+    last = last.groupBy("sources").agg(F.max(F.struct("draw", "doc_id", "size")).alias("last"))
+    return made.join(ends.select("sources", "slice"), "sources", "left").join(last, "sources", "left")
+
+
+def _applied(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """Measured documents with their pattern's figures and the words taken of each."""
+    own = F.struct("draw", "doc_id", "size")
+    more = (F.substring("draw", 1, SLICE_DIGITS) < F.col("slice")) | (F.col("last").isNotNull() & (own <= F.col("last")))
+    joined = docs.join(F.broadcast(made), "sources")  # at most MAX_PATTERNS rows
+    return joined.withColumn("taken", F.col("size") * (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")))
+
+
+def mix(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=weights_of, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
+    """One row per document: doc_id, sources, size, source_size, target, taken.
+
+    sources: a column with an array of a document's sources. source_size and target are sums over them.
+    Repeated rows of equal id and size stand or fall together.
+    """
+    work = Work(docs.sparkSession, "mixing")
+    measured = work.keep(_measured(docs, id_column, sources, text, seed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
+    made = work.keep(plan(measured, weights, share, repeats))
+    return _applied(measured.drop("slice"), made).select("doc_id", "sources", "size", "source_size", "target", "taken")
+
+
+def taken(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=weights_of, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
+    """The documents that the mix takes, with their columns and mix_size, mix_target, mix_taken. The texts are not shuffled."""
+    work = Work(docs.sparkSession, "mixing")
+    measured = work.keep(_measured(docs, id_column, sources, text, seed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
+    made = work.keep(plan(measured, weights, share, repeats))
+    out = _applied(_measured(docs, id_column, sources, text, seed, F.struct(*docs.columns).alias("row")), made)
+    return out.where("taken > 0").select("row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,20 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column(place)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier for these documents' labels."""
     return train(*sample(docs, labels, "quality", SAMPLE_ROWS))

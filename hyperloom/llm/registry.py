@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name: function of (spark, sf_dir)) and ORACLE (name: SQL).
-MODULES = ("fingerprint", "jaccard_join")
+MODULES = ("fingerprint", "secret_scan", "url_filter", "jaccard_join", "decontaminate", "mixing", "pii", "token_count", "quality", "toxicity")
 
 
 def _each(attribute: str) -> dict:
