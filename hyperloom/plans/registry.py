@@ -1,9 +1,15 @@
 """Named queries over the test tables, each with its DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from hyperloom.plans import collision, questionnaire, storage
 
+PLANS = (collision, questionnaire, storage)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {k: f for plan in PLANS for k, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for plan in PLANS for k, s in plan.ORACLE.items()}
