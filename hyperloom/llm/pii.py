@@ -300,6 +300,7 @@ def train(windows: int = 2400, epochs: int = 7, batch: int = 48, rate: float = 1
 #: Digits that a span must hold, by kind; an e-mail address needs its at sign.
 _LEAST_DIGITS = (0, 4, 12, 7)
 _MOST_DIGITS = (99, 12, 19, 15)
+_MAIL = re.compile(r"[^\s,;:\"'<>()]+\s?(?:@|[(\[]at[)\]])\s?\w[\w-]*(?:\.\w[\w-]*)+")
 _TRIM = " \t\n\r\x0b\x0c,;:\"'"
 
 
@@ -308,7 +309,7 @@ def _plausible(kind: int, piece: str) -> bool:
     if not _LEAST_DIGITS[kind] <= n <= _MOST_DIGITS[kind]:
         return False
     if kind == 0:
-        return bool(re.search(r"\w\s?(?:@|[(\[]at[)\]])\s?\w[\w-]*\.\w", piece))
+        return bool(_MAIL.fullmatch(piece))
     if kind == 1:
         return bool(re.fullmatch(r"\d+(?:\s?\.\s?\d+){3}", piece))
     return not re.search(r"[^\W\d_]", piece) and (kind == 2 or bool(re.search(r"[\s().-]", piece)))
@@ -363,6 +364,8 @@ def reconcile(text: str, base: list[tuple[int, int, int]], added: list[tuple[int
             start += 1
         while start < end and text[end - 1] in _TRIM + ".":
             end -= 1
+        if kind == 0 and (m := _MAIL.search(text, start, end)):  # no words around the address
+            start, end = m.span()
         if start < end and _plausible(kind, text[start:end]):
             trimmed.append((start, kind, end))
     taken = sorted((s, e) for s, _, e in base)

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of 3 to 5 bytes of the lower-case text, punctuation read as space; a
+Features are hashed n-grams of 3 to 7 bytes of the lower-case text, punctuation read as space; a
 feature counts once a text. Its log-count ratio is the log of its smoothed share of toxic texts over
 that of the others. The KEPT features whose shares differ most (in standard errors) enter a logistic
 regression on presence times ratio, trained on a bounded sample of labelled rows. Only features with a
@@ -21,9 +21,9 @@ from hyperloom.llm import textkernel as tk
 from hyperloom.llm.labelled import SAMPLE_ROWS, held_out, sample
 from hyperloom.llm.shared import small_batches, table, text_column
 
-ORDERS = (3, 4, 5)
-BITS = 20
-KEPT = 2048
+ORDERS = (3, 4, 5, 6, 7)
+BITS = 21
+KEPT = 4096
 THRESHOLD = 0.3
 _TO_SPACE = np.where(tk.WORDLIKE, np.arange(256), 32).astype(np.uint8)
 _CODE = (tk._BYTE >> np.uint64(32)).astype(np.uint32)
@@ -82,14 +82,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int = 200, ridge: float = 1e-3) -> Model:
+def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int = 300, ridge: float = 1e-4) -> Model:
     """Fits the classifier on labelled texts."""
     n = np.array([(labels == k).sum() for k in (0, 1)])
     if n.min() == 0:
         return Model(float(np.log((n[1] + 1) / (n[0] + 1))), np.zeros(1 << BITS))
     column = pa.array(texts, pa.large_string())
     step = 256
-    shares = np.zeros((2, 1 << BITS))
+    shares = np.zeros((2, 1 << BITS), np.float32)
 
     def parts():
         for i in range(0, len(texts), step):
@@ -106,16 +106,22 @@ def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int =
     strength = np.abs(p[1] - p[0]) / np.sqrt(p[0] * (1 - p[0]) / n[0] + p[1] * (1 - p[1]) / n[1])
     strength[shares.sum(axis=0) == 0] = 0
     chosen = np.sort(np.argsort(-strength, kind="stable")[:kept])
+    ratio = ratio[chosen]
+    del p, shares, strength
     wanted = np.zeros(1 << BITS, bool)
     wanted[chosen] = True
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for i, data, offsets in parts():
         keys = present(data, offsets, wanted)
         x[i + (keys >> BITS), np.searchsorted(chosen, keys & ((1 << BITS) - 1))] = 1
-    x *= ratio[chosen].astype(np.float32)
+    x *= ratio.astype(np.float32)
     # Logistic regression by Nesterov's gradient, with a ridge.
     w, b, v, vb = np.zeros(len(chosen), np.float32), float(np.log(n[1] / n[0])), 0.0, 0.0
-    rate = np.float32(4 / (np.square(x).sum(axis=1).mean() + 1))
+    top = np.ones(len(chosen), np.float32)
+    for _ in range(30):  # the largest curvature bounds the step
+        top = x.T @ (x @ top)
+        top /= np.linalg.norm(top) + 1e-12
+    rate = np.float32(4 / (np.square(x @ top).sum() / len(texts) * 1.1 + 1))
     for k in range(rounds):
         wa, ba = w + 0.9 * v, b + 0.9 * vb
         error = 1 / (1 + np.exp(-np.clip(x @ wa + ba, -50, 50))) - labels
@@ -123,7 +129,7 @@ def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int =
         vb = 0.9 * vb - rate * error.mean()
         w, b = w + v, b + vb
     weight = np.zeros(1 << BITS)
-    weight[chosen] = w * ratio[chosen]
+    weight[chosen] = w * ratio
     weight[np.abs(weight) < 0.005 * np.abs(weight).max()] = 0
     return Model(float(b), weight)
 
