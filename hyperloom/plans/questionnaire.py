@@ -116,7 +116,7 @@ def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geometry_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.agreement(geometry.pair_rows(spark, sf_dir, SEEDS, WIDTHS))
+    return geometry.agreement(geometry.pair_rows(spark, sf_dir, SEEDS, WIDTHS)).withColumn("spearman", F.round("spearman", 12))
 
 
 def neighbor_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def perturbation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perturbation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by profile first, then over profiles."""
     by_profile = _perturbed(spark, sf_dir).groupBy("width", "condition", "vid").agg(F.avg("bundle_cosine").alias("b"), F.avg("ideal_cosine").alias("o"), F.count("*").alias("n"))
-    return by_profile.groupBy("width", "condition").agg(F.round(F.avg("b"), 9).alias("bundle_cosine"), F.round(F.avg("o"), 9).alias("ideal_cosine"), F.sum("n").alias("pairs"), F.count("*").alias("profile_units"))
+    return by_profile.groupBy("width", "condition").agg(F.round(F.avg("b"), 9).alias("bundle_cosine"), F.round(F.avg("o"), 13).alias("ideal_cosine"), F.sum("n").alias("pairs"), F.count("*").alias("profile_units"))
 
 
 def perturbation_quantile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,10 +256,10 @@ sums AS (SELECT seed, width, reference, count(*)::HUGEINT AS n, sum(rx)::HUGEINT
 mirrored AS (SELECT seed, width, reference, a, b, cosine, truth FROM truths UNION ALL SELECT seed, width, reference, b, a, cosine, truth FROM truths),
 near AS (SELECT seed, width, reference, a, b, row_number() OVER (PARTITION BY seed, width, reference, a ORDER BY cosine DESC, b) AS rc, row_number() OVER (PARTITION BY seed, width, reference, a ORDER BY truth DESC, b) AS rt FROM mirrored),
 agreed AS (SELECT seed, width, reference, count(*) FILTER (rc = 1 AND rt = 1)::DOUBLE / count(DISTINCT a) AS nearest_neighbor_agreement, count(*) FILTER (rc <= 3 AND rt <= 3)::DOUBLE / (3 * count(DISTINCT a)) AS top3_neighbor_overlap FROM near GROUP BY ALL)
-SELECT seed, width, reference, (n * xy - x * y)::DOUBLE / (sqrt((n * xx - x * x)::DOUBLE) * sqrt((n * yy - y * y)::DOUBLE)) AS spearman, nearest_neighbor_agreement, top3_neighbor_overlap FROM sums JOIN agreed USING (seed, width, reference)""",
+SELECT seed, width, reference, round((n * xy - x * y)::DOUBLE / (sqrt((n * xx - x * x)::DOUBLE) * sqrt((n * yy - y * y)::DOUBLE)), 12) AS spearman, nearest_neighbor_agreement, top3_neighbor_overlap FROM sums JOIN agreed USING (seed, width, reference)""",
     "neighbor_top3": _with(*_ONE, _EVERY, _PAIRS) + ", mirrored AS (SELECT width, a, b, cosine FROM pairs UNION ALL SELECT width, b, a, cosine FROM pairs) SELECT width, a, r::INT AS rank, b FROM (SELECT *, row_number() OVER (PARTITION BY width, a ORDER BY cosine DESC, b) AS r FROM mirrored) WHERE r <= 3",
     "perturbation_pairs": _with(*_ONE, _CHANGED) + "SELECT * FROM perturbed",
-    "perturbation_summary": _with(*_ONE, _CHANGED) + "SELECT width, condition, round(avg(b), 9) AS bundle_cosine, round(avg(o), 9) AS ideal_cosine, sum(n)::BIGINT AS pairs, count(*) AS profile_units FROM (SELECT width, condition, vid, avg(bundle_cosine) AS b, avg(ideal_cosine) AS o, count(*) AS n FROM perturbed GROUP BY width, condition, vid) GROUP BY width, condition",
+    "perturbation_summary": _with(*_ONE, _CHANGED) + "SELECT width, condition, round(avg(b), 9) AS bundle_cosine, round(avg(o), 13) AS ideal_cosine, sum(n)::BIGINT AS pairs, count(*) AS profile_units FROM (SELECT width, condition, vid, avg(bundle_cosine) AS b, avg(ideal_cosine) AS o, count(*) AS n FROM perturbed GROUP BY width, condition, vid) GROUP BY width, condition",
     "perturbation_quantile_band": _with(*_ONE, _CHANGED) + "SELECT width, (max(c) FILTER (place = floor((n - 1) / 2.0)) + max(c) FILTER (place = ceil((n - 1) / 2.0))) / 2 AS median, max(c) FILTER (place = round((n - 1) * 0.05::DOUBLE)) AS q05, max(c) FILTER (place = round((n - 1) * 0.95::DOUBLE)) AS q95 FROM (SELECT width, bundle_cosine AS c, row_number() OVER (PARTITION BY width ORDER BY bundle_cosine) - 1 AS place, count(*) OVER (PARTITION BY width) AS n FROM perturbed WHERE condition = 'near') GROUP BY width",
     "distinct_profile_context": _with(*_ONE, _EVERY, _PAIRS) + "SELECT width, count(*) FILTER (difference_sum > 0) AS distinct_pairs, min(difference_sum) AS smallest_difference, count(*) FILTER (difference_sum * 5 <= width) AS naturally_near_pairs FROM pairs GROUP BY width",
 }

@@ -37,9 +37,9 @@ def write_parquet(frame: DataFrame, path: str, *partitions: str, codec: str = "z
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document that may span lines."""
-    return spark.read.option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """JSON rows, one a line; or one document that spans lines."""
+    return spark.read.option("multiLine", document).json(path)
 
 
 def write_json(frame: DataFrame, path: str) -> None:
