@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hyperloom.plans import collision, questionnaire, storage
+from hyperloom.plans import checks, collision, questionnaire, storage
 
-PLANS = (collision, questionnaire, storage)
+PLANS = (collision, questionnaire, checks, storage)
 
 
 def queries() -> dict:

@@ -48,19 +48,45 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 # Generated questionnaires: a stable byte of a label decides anchors and answers.
 
+# Fixed values of the published questionnaire.
+GENERATOR_SEED = "hyp84-questionnaire-v1"
+FEATURED_ANCHORS = (4, 3, 5, 2, 4)
+KEYS = "+-+-+-+-+-+-+-+-+-+-+-+-+-+---+-+-+-+--++++-+-++-+"
+PROFILES = 31
 
-def stable_byte(*parts, seed: str = "qa-encoding-v1"):
-    """The first byte of a SHA-256 digest of seed and parts."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256), 1, 2), 16, 10).cast("int")
+
+def stable_byte(*parts):
+    """The first byte of a SHA-256 digest of the seed and the parts."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(GENERATOR_SEED), *parts), 256), 1, 2), 16, 10).cast("int")
 
 
 def anchor(profile, factor):
-    return 1 + stable_byte(F.lit("anchor"), profile, factor.cast("string")) % 5
+    """A profile's level on a factor: fixed for the featured profile, else from its label."""
+    drawn = 1 + stable_byte(profile, factor.cast("string"), F.lit("anchor")) % 5
+    return F.when(profile == "featured", F.element_at(F.lit(list(FEATURED_ANCHORS)), factor)).otherwise(drawn)
 
 
 def raw_answer(profile, item, anchored, key):
     """The keyed anchor, moved one down or up for one byte in six each, kept within 1 to 5."""
-    byte = stable_byte(F.lit("answer"), profile, item) % 6
+    byte = stable_byte(profile, item, F.lit("item-variation")) % 6
     keyed = F.when(key == "-", 6 - anchored).otherwise(anchored)
     moved = keyed + F.when(byte == 0, -1).when(byte == 5, 1).otherwise(0)
     return F.greatest(F.lit(1), F.least(F.lit(5), moved))
+
+
+def study_items(spark: SparkSession) -> DataFrame:
+    """(item_id, position, factor_id, key_direction) of the published questionnaire."""
+    pos = F.col("id").cast("int")
+    return spark.range(1, ITEMS + 1).select(F.format_string("Q%02d", pos).alias("item_id"), pos.cast("short").alias("position"), ((pos - 1) % FACTORS + 1).alias("factor_id"), F.substring(F.lit(KEYS), pos, F.lit(1)).alias("key_direction"))
+
+
+def study_profiles(spark: SparkSession) -> DataFrame:
+    """(vid, profile_id) of the published profiles, the featured one first."""
+    return spark.range(PROFILES).select(F.col("id").alias("vid"), F.when(F.col("id") == 0, "featured").otherwise(F.format_string("sensitivity_%02d", F.col("id"))).alias("profile_id"))
+
+
+def study_responses(spark: SparkSession) -> DataFrame:
+    """(profile_id, item_id, raw_answer): every profile on every item, a fixed number of rows."""
+    rows = study_profiles(spark).crossJoin(study_items(spark))
+    anchored = anchor(F.col("profile_id"), F.col("factor_id"))
+    return rows.select("profile_id", "item_id", raw_answer(F.col("profile_id"), F.col("item_id"), anchored, F.col("key_direction")).alias("raw_answer"))
