@@ -32,7 +32,6 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 20
-SETTLED = 1e-6
 SHARE = 0.6
 LEAST = 1e-9
 _LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
@@ -82,15 +81,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, work: Work, damping: float = D
     mass = nodes.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     for _ in range(rounds if not flows.isEmpty() else 0):
         moved = flows.join(score, flows.source == score.host).select("target", (F.col("share") * F.when(F.col("kind") == "trust", F.col("trust")).otherwise(0.0)).alias("t"), (F.col("share") * F.when(F.col("kind") == "distrust", F.col("distrust")).otherwise(0.0)).alias("d")).groupBy("target").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        got = work.keep(nodes.join(moved, nodes.host == moved.target, "left").join(score, "host").select("host", "trusted", "blocked", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")))
+        got = work.keep(nodes.join(moved, nodes.host == moved.target, "left").select("host", "trusted", "blocked", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d")))
         lost = got.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
         # What flowed nowhere goes back to the seeds, in proportion.
         back = lambda all_, kept: (1 - damping * (kept or 0.0) / all_) if all_ else 0.0
-        score = got.select("host", (damping * F.col("t") + back(mass.t, lost.t) * F.col("trusted")).alias("trust"), (damping * F.col("d") + back(mass.b, lost.d) * F.col("blocked")).alias("distrust"), "t0", "d0")
-        change = score.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("x")).first().x
+        score = got.select("host", (damping * F.col("t") + back(mass.t, lost.t) * F.col("trusted")).alias("trust"), (damping * F.col("d") + back(mass.b, lost.d) * F.col("blocked")).alias("distrust"))
         score = score.select("host", "trust", "distrust")
-        if (change or 0.0) < SETTLED:
-            break
     return score
 
 
@@ -107,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     own = F.when(bad, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule").join(score, "host", "left").select(
         "page_id", "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", own).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
     )
 
 
@@ -117,4 +113,34 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_url_filter": op3_url_filter}
-ORACLE: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The same in SQL, the rounds written out."""
+    fits = []
+    for verdict, rule in sorted(RULES, key=lambda x: (-len(x[1]), x[1])):
+        name, slash, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}') THEN {{{{'rule': '{rule}', 'verdict': '{verdict}'}}}}".replace("{{", "{").replace("}}", "}"))
+    link = _LINK.replace("'", "''")
+    rounds = ["s0 AS (SELECT host, trusted AS t, blocked AS d FROM nodes)"]
+    for k in range(ROUNDS):
+        rounds.append(f"""m{k} AS (SELECT target AS host, sum(CASE WHEN kind = 't' THEN share * t ELSE 0 END) AS t, sum(CASE WHEN kind = 'd' THEN share * d ELSE 0 END) AS d FROM flows JOIN s{k} ON source = host GROUP BY target),
+s{k + 1} AS MATERIALIZED (SELECT n.host, {DAMPING} * coalesce(m.t, 0) + CASE WHEN a.t > 0 THEN 1 - {DAMPING} * coalesce((SELECT sum(t) FROM m{k}), 0) / a.t ELSE 0 END * trusted AS t, {DAMPING} * coalesce(m.d, 0) + CASE WHEN a.d > 0 THEN 1 - {DAMPING} * coalesce((SELECT sum(d) FROM m{k}), 0) / a.d ELSE 0 END * blocked AS d FROM nodes n LEFT JOIN m{k} m USING (host), mass a)""")
+    return f"""WITH cut AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosted AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+placed AS (SELECT page_id, html, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosted),
+ruled AS MATERIALIZED (SELECT *, CASE {" ".join(fits)} END AS x FROM placed),
+seeds AS (SELECT host, count(*) FILTER (x.verdict = 'allow')::DOUBLE AS trusted, count(*) FILTER (x.verdict = 'block')::DOUBLE AS blocked FROM ruled WHERE host <> '' GROUP BY host),
+unit AS (SELECT greatest(coalesce(sum(trusted), 0), coalesce(sum(blocked), 0), 1) AS u FROM seeds),
+links AS (SELECT host AS source, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda h: translate(h, '{_UPPER}', '{_LOWER}')))) AS target FROM ruled WHERE host <> ''),
+edges AS (SELECT source, target, count(*)::DOUBLE AS weight FROM links WHERE source <> target AND target <> '' GROUP BY source, target),
+mirrored AS (SELECT source, target, weight, 't' AS kind FROM edges UNION ALL SELECT target, source, weight, 'd' FROM edges),
+flows AS MATERIALIZED (SELECT source, target, kind, weight / sum(weight) OVER (PARTITION BY source, kind) AS share FROM mirrored),
+nodes AS MATERIALIZED (SELECT host, sum(trusted) AS trusted, sum(blocked) AS blocked FROM (SELECT host, trusted / u AS trusted, blocked / u AS blocked FROM seeds, unit UNION ALL SELECT unnest([source, target]), 0, 0 FROM edges) GROUP BY host),
+mass AS (SELECT coalesce(sum(trusted), 0) AS t, coalesce(sum(blocked), 0) AS d FROM nodes),
+{", ".join(rounds)}
+SELECT page_id, r.host, path, x.rule AS rule, coalesce(x.verdict, CASE WHEN d > {LEAST!r} AND d >= {SHARE} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(t, 0), 9) AS trust, round(coalesce(d, 0), 9) AS distrust
+FROM ruled r LEFT JOIN s{ROUNDS} s ON s.host = r.host"""
+
+
+ORACLE = {"op3_url_filter": _oracle()}

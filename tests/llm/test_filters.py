@@ -111,11 +111,7 @@ def plain_rank(seeds, links, damping=uf.DAMPING, rounds=uf.ROUNDS):
     score = start.copy()
     for _ in range(rounds):
         flowed = score @ move
-        new = damping * flowed + (1 - damping * flowed.sum() / start.sum() if start.sum() else 0) * start
-        done = np.abs(new - score).sum() < uf.SETTLED / 2
-        score = new
-        if done:
-            break
+        score = damping * flowed + (1 - damping * flowed.sum() / start.sum() if start.sum() else 0) * start
     return dict(zip(hosts, score, strict=True))
 
 
@@ -213,7 +209,7 @@ def test_secrets(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
         if r.doc_id == 8:
-            assert r.spans == "random:4:29"
+            assert r.spans == "random:4:28"
     assert secret_scan.scan(cases.clashing(spark), model).count() == len(cases.rows()) and secret_scan.scan(cases.none(spark), model).count() == 0
 
 
