@@ -78,6 +78,16 @@ class Segment:
             yield made
 
 
+def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by key below n, for the keys that occur."""
+    if n <= 4 * len(keys):
+        total = np.bincount(keys, values, n)
+        own = np.flatnonzero(total)
+        return own, total[own]
+    own, place = np.unique(keys, return_inverse=True)
+    return own, np.bincount(place, values, len(own))
+
+
 class Index:
     """BM25 impacts of segments by term, with block maxima."""
 
@@ -121,14 +131,20 @@ class Index:
     def search(self, terms: np.ndarray, theta: float = THETA) -> tuple[np.ndarray, np.ndarray]:
         """Segments that score theta or more against distinct terms, and their scores."""
         lists = self._lists(self.block_ends, terms)
-        good = np.bincount(self.block[lists], self.block_most[lists], self.blocks) >= theta - 1e-9
-        if not good.any():
+        blocks, bounds = _sums(self.block[lists], self.block_most[lists], self.blocks)
+        good = blocks[bounds >= theta - 1e-9]
+        if not len(good):
             return np.zeros(0, np.int64), np.zeros(0)
         lists = self._lists(self.ends, terms)
-        lists = lists[good[self.where[lists] // BLOCK]]
-        score = np.bincount(self.where[lists], self.impact[lists], len(self.segments))
-        hits = np.flatnonzero(score >= theta - 1e-9)
-        return hits, score[hits]
+        if self.blocks <= 4 * len(lists):
+            wanted = np.zeros(self.blocks, bool)
+            wanted[good] = True
+            lists = lists[wanted[self.where[lists] // BLOCK]]
+        else:
+            lists = lists[np.isin(self.where[lists] // BLOCK, good)]
+        hits, score = _sums(self.where[lists], self.impact[lists], len(self.segments))
+        kept = score >= theta - 1e-9
+        return hits[kept], score[kept]
 
     def documents(self, words: np.ndarray, rows: np.ndarray, theta: float = THETA):
         """(row, segment, score, overlaps) of checked matches in rows of words."""
