@@ -89,9 +89,9 @@ def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(overlap.sharing_pairs(records, 3), records, DIMENSION, 0)
 
 
-def _trial(spark, sf_dir, seed=0, misses=False):
+def _trial(spark, sf_dir, seed=0, **options):
     records, n = part_records(spark, sf_dir), _size(spark, sf_dir)
-    return pairs.compare(records, nested_sizes(n), DIMENSION, seed, misses), nested_sizes(n)
+    return pairs.compare(records, nested_sizes(n), DIMENSION, seed, **options), nested_sizes(n)
 
 
 def false_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def trial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by shared values (0 to 2) and score bin; every bin has a row."""
-    found, _ = _trial(spark, sf_dir)
+    found, _ = _trial(spark, sf_dir, histogram=True)
     places = found.where("histogram is not null").select(F.posexplode("histogram").alias("at", "n"))
     bins = spark.range(pairs.HISTOGRAM_GROUPS * pairs.BINS).withColumnRenamed("id", "at")
     counts = bins.join(places.groupBy("at").agg(F.sum("n").alias("n")), "at", "left")

@@ -116,11 +116,12 @@ def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geometry_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.agreement(geometry.pair_rows(spark, sf_dir, SEEDS, WIDTHS)).withColumn("spearman", F.round("spearman", 12))
+    found = profiles(answers(spark, sf_dir))
+    return geometry.agreement(geometry.compare(found, SEEDS, WIDTHS), geometry.neighbours(found, SEEDS, WIDTHS)).withColumn("spearman", F.round("spearman", 12))
 
 
 def neighbor_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.neighbours(geometry.pair_rows(spark, sf_dir, SEEDS[:1], WIDTHS), "cosine", 3).select("width", "a", "rank", "b")
+    return geometry.neighbours(profiles(answers(spark, sf_dir)), SEEDS[:1], WIDTHS).where("reference = 'bundle'").select("width", "a", "rank", "b")
 
 
 def _perturbed(spark, sf_dir) -> DataFrame:
