@@ -45,7 +45,8 @@ TAU = 1.25
 SKETCH = 64
 BUCKET = 400
 LEVELS = 8
-BLOCK = 512
+#: Texts and tokens of a block of the exact check, about, so that two blocks' sets stay small in memory.
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 #: Paths of the first runs, whose components spare the others most of their buckets.
 FIRST = 3
 #: Splits done at once: a bucket is split by this many sampled tokens in turn before it is looked at again.
@@ -219,7 +220,7 @@ def _candidates(reps: DataFrame, work: Work) -> DataFrame:
             return roots
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
     """Sizes of the intersections of each set of a with each of b, by blocks of a 0/1 matrix product."""
     values = np.concatenate([*a, *b])
     owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
@@ -315,10 +316,10 @@ def _joined(keyed: DataFrame, work: Work, threshold: float, recall: float) -> tu
     own = F.col("least") if plain else F.xxhash64("key")
     classes = described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first(F.struct("size", "paths", "sketch")).alias("x"))
     classes = work.keep(classes.select("key", "least", own.alias("id"), "n", "x.size", "x.paths", "x.sketch"))
-    near = work.keep(_candidates(classes, work).join(classes.select("id", "key"), "id").select("id", "root", "key"))
+    near = work.keep(_candidates(classes, work).join(classes.select("id", "key", "size"), "id").select("id", "root", "key", "size"))
     # Exact check: each component's texts, in pairs of blocks.
-    counts = near.groupBy("root").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    counts = near.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))).cast("int")
     placed = near.join(counts, "root").select("id", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     if plain:
         texts = keyed.select(F.col("doc_id").alias("id"), "text").hint("merge").join(placed, "id")
