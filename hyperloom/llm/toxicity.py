@@ -46,15 +46,29 @@ def ngrams(data: np.ndarray, offsets: np.ndarray):
 
 def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct (row << BITS | feature), of wanted features only if given."""
+    if wanted is None:
+        return _all_present(data, offsets)
     found = []
     for feature, stops in ngrams(data, offsets):
-        at = np.flatnonzero(wanted[feature]) if wanted is not None else np.arange(len(feature))
+        at = np.flatnonzero(wanted[feature])
         row = np.searchsorted(offsets, at, "right") - 1
         whole = at < stops[row]
         found.append((row[whole] << BITS) | feature[at[whole]].astype(np.int64))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _all_present(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Distinct (row << BITS | feature) of all features, row by row: a feature's last place in a row stands for it."""
+    orders, table, out = list(ngrams(data, offsets)), np.zeros(1 << BITS, np.int32), []
+    for row, lo in enumerate(offsets[:-1]):
+        own = [feature[lo : max(lo, stops[row])] for feature, stops in orders]
+        own = np.concatenate(own) if own else np.zeros(0, np.uint32)
+        place = np.arange(len(own), dtype=np.int32)
+        table[own] = place
+        out.append((row << BITS) | own[table[own] == place].astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Model:
     """Weights by feature and a bias."""
 
@@ -82,7 +96,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int = 300, ridge: float = 1e-4) -> Model:
+def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, steps: int = 60, ridge: float = 1e-4) -> Model:
     """Fits the classifier on labelled texts."""
     n = np.array([(labels == k).sum() for k in (0, 1)])
     if n.min() == 0:
@@ -110,28 +124,54 @@ def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, rounds: int =
     del p, shares, strength
     wanted = np.zeros(1 << BITS, bool)
     wanted[chosen] = True
-    x = np.zeros((len(texts), len(chosen)), np.float32)
+    places, rows = [], []
     for i, data, offsets in parts():
         keys = present(data, offsets, wanted)
-        x[i + (keys >> BITS), np.searchsorted(chosen, keys & ((1 << BITS) - 1))] = 1
-    x *= ratio.astype(np.float32)
-    # Logistic regression by Nesterov's gradient, with a ridge.
-    w, b, v, vb = np.zeros(len(chosen), np.float32), float(np.log(n[1] / n[0])), 0.0, 0.0
-    top = np.ones(len(chosen), np.float32)
-    for _ in range(30):  # the largest curvature bounds the step
-        top = x.T @ (x @ top)
-        top /= np.linalg.norm(top) + 1e-12
-    rate = np.float32(4 / (np.square(x @ top).sum() / len(texts) * 1.1 + 1))
-    for k in range(rounds):
-        wa, ba = w + 0.9 * v, b + 0.9 * vb
-        error = 1 / (1 + np.exp(-np.clip(x @ wa + ba, -50, 50))) - labels
-        v = 0.9 * v - rate * (x.T @ error.astype(np.float32) / len(texts) + ridge * wa)
-        vb = 0.9 * vb - rate * error.mean()
-        w, b = w + v, b + vb
-    weight = np.zeros(1 << BITS)
-    weight[chosen] = w * ratio
+        places.append(np.searchsorted(chosen, keys & ((1 << BITS) - 1)).astype(np.int32))
+        rows.append((i + (keys >> BITS)).astype(np.int32))
+    place, row = np.concatenate(places), np.concatenate(rows)
+
+    def loss(theta):
+        """Mean logistic loss with a ridge, and its gradient; the last parameter is the bias."""
+        z = np.bincount(row, (theta[:-1] * ratio)[place], len(texts)) + theta[-1]
+        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
+        slope = np.bincount(place, error[row], len(chosen)) * ratio / len(texts) + ridge * theta[:-1]
+        value = np.mean(np.logaddexp(0, z) - labels * z) + ridge / 2 * np.square(theta[:-1]).sum()
+        return value, np.append(slope, error.mean())
+
+    theta = minimise(loss, np.append(np.zeros(len(chosen)), np.log(n[1] / n[0])), steps)
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[chosen] = theta[:-1] * ratio
     weight[np.abs(weight) < 0.005 * np.abs(weight).max()] = 0
-    return Model(float(b), weight)
+    return Model(float(theta[-1]), weight)
+
+
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent of f, which gives value and gradient."""
+    value, slope = f(x)
+    pairs: list[tuple] = []
+    for _ in range(steps):
+        way, shares = -slope, []
+        for s, y, r in reversed(pairs):
+            shares.append(r * (s @ way))
+            way = way - shares[-1] * y
+        if pairs:
+            way = way * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]))
+        for (s, y, r), share in zip(pairs, reversed(shares), strict=True):
+            way = way + (share - r * (y @ way)) * s
+        rate = 1.0 if pairs else 1 / max(1.0, float(np.linalg.norm(slope)))
+        new, turned = f(x + rate * way)
+        while new > value + 1e-4 * rate * (slope @ way) and rate > 1e-8:
+            rate /= 2
+            new, turned = f(x + rate * way)
+        s, y = rate * way, turned - slope
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y, 1 / (s @ y))][-memory:]
+        done = abs(value - new) <= 1e-8 * max(1.0, abs(value))
+        x, value, slope = x + s, new, turned
+        if done:
+            break
+    return x
 
 
 def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
