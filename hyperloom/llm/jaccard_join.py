@@ -361,13 +361,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     work = Work(docs.sparkSession, "jaccard")
     rows, classes = _joined(_keyed(docs, id_column, text), work, threshold, recall)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key"))
-    kept = work.keep(classes.groupBy("root").agg(first.alias("x")).select(F.col("x.key").alias("_key"), F.col("x.least").alias("_least")))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text_column(text).cast("binary"))))
-    out = keyed.hint("merge").join(kept, (keyed["_key"] == kept["_key"]) & keyed[id_column].cast("long").eqNullSafe(kept["_least"]), "left_semi")
-    again = rows.groupBy("doc_id", "key").count().where("count > 1")
-    if not again.isEmpty():  # rows equal in id and text
-        out = out.dropDuplicates([id_column, "_key"])
-    return out.drop("_key")
+    kept = work.keep(classes.groupBy("root").agg(first.alias("x")).select(F.col("x.key").alias("kept_key"), F.col("x.least").alias("kept_id")))
+    # The rows travel whole in one column, so no name of theirs can clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    packed = docs.select(row, F.col(id_column).cast("long").alias("own_id"), F.unhex(F.md5(text_column(text).cast("binary"))).alias("own_key"))
+    same = (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
+    out = packed.hint("merge").join(kept, same, "left_semi")
+    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():  # rows equal in id and text
+        out = out.dropDuplicates(["own_id", "own_key"])
+    return out.select("row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def taken(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text
     work = Work(docs.sparkSession, "mixing")
     measured = work.keep(_measured(docs, id_column, sources, text, seed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
     made = work.keep(plan(measured, weights, share, repeats))
-    out = _applied(_measured(docs, id_column, sources, text, seed, F.struct(*docs.columns).alias("row")), made)
+    out = _applied(_measured(docs, id_column, sources, text, seed, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), made)
     return out.where("taken > 0").select("row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
 
 
