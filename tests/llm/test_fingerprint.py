@@ -45,6 +45,33 @@ def test_weights_count():
         assert abs(fp.likeness(a, b)[0] - 1 / n) < 0.15
 
 
+def test_heavy_runs_count_by_weight():
+    """Ten runs of weight 200 among sixty others of weight 1: shared heavy runs, then shared light ones."""
+    errors = {"heavy": [], "light": []}
+    for seed in range(20):
+        terms = fp.tk.mix(np.arange(130, dtype=np.uint64) + np.uint64(1000 * seed))
+        heavy, one, two = terms[:10], terms[10:70], terms[70:]
+        sign = lambda *sets: fp.sample(np.concatenate([x for x, _ in sets]), np.concatenate([np.full(len(x), float(w)) for x, w in sets]), np.zeros(sum(len(x) for x, _ in sets), np.int64), 1)
+        a, b, light = sign((heavy, 200), (one, 1)), sign((heavy, 200), (two, 1)), sign((one, 1))
+        errors["heavy"].append(fp.likeness(a, b)[0] - 2000 / 2120)
+        errors["light"].append(fp.likeness(a, light)[0] - 60 / 2060)
+    assert all(abs(np.mean(x)) < 0.02 and np.std(x) < 0.06 for x in errors.values()), errors
+
+
+def test_every_sample_is_filled_and_equals_drawing_all():
+    """Arrivals left undrawn can't win: the same as the first arrivals in each slot of ever more draws."""
+    got = fp.signatures(["one two three four five six", "word", "a b c d e " * 300])
+    assert (got != 0).all()
+    terms = fp.tk.mix(np.arange(3, dtype=np.uint64))
+    units = fp.tk.mix(terms ^ fp.tk.mix(np.zeros(1, np.uint64)))
+    bits = fp.tk.mix(units[:, None] + np.arange(1, 5001, dtype=np.uint64) * fp._DRAW)
+    at = np.cumsum(-np.log(((bits >> np.uint64(11)) + 0.5) * 2.0**-53), axis=1)
+    code = fp.tk.mix(units ^ fp._DRAW) % np.uint64(0xFFFF) + np.uint64(1)
+    slot = bits % np.uint64(fp.SLOTS)
+    want = [code[np.where(slot == k, at, np.inf).min(axis=1).argmin()] for k in range(fp.SLOTS)]
+    assert fp.sample(terms, np.ones(3), np.zeros(3, np.int64), 1)[0].tolist() == want
+
+
 def test_equal_texts_agree_and_empty_is_defined():
     s = fp.signatures(["", "", "a b", "a b", "!!", "??"])
     assert fp.likeness(s[:1], s[1:2])[0] == 1.0 and (s[2] == s[3]).all() and fp.likeness(s[4:5], s[5:6])[0] == 0.0
