@@ -5,8 +5,9 @@ the same kinds that the rules' forms miss (a telephone number without its plus s
 dots, an address with letters beyond ASCII). It is trained in numpy on generated text whose spans are
 labelled by construction, among look-alikes (keys, dates, prices, versions) that are labelled as none.
 
-A text is read in windows of WINDOW characters, STRIDE on. A span of these kinds holds a digit or an at
-sign, so windows without either are not run; spans without either are dropped, so this changes nothing.
+A text is read in windows of WINDOW characters, STRIDE on. A span of these kinds holds a digit, an at sign
+or one written out, (at) or [at]; windows without any of them are not run, and since spans without any are
+dropped, this changes nothing.
 Every window is decoded by Viterbi; a span counts in the window whose middle part holds the span's middle,
 so each is decided once whatever windows see it. Then all spans of a text are reconciled: rule spans stay,
 model spans that touch one go, and of model spans that touch each other the longer stays.
@@ -297,9 +298,10 @@ def train(windows: int = 2400, epochs: int = 7, batch: int = 48, rate: float = 1
 
 # ------------------------------------------------------------------------------------- scanning
 
-#: Digits that a span must hold, by kind; an e-mail address needs its at sign.
+#: Digits that a span must hold, by kind; an e-mail address needs its at sign, be it written out.
 _LEAST_DIGITS = (0, 4, 12, 7)
 _MOST_DIGITS = (99, 12, 19, 15)
+_AT = re.compile(r"[(\[]at[)\]]")
 _MAIL = re.compile(r"[^\s,;:\"'<>()]+\s?(?:@|[(\[]at[)\]])\s?\w[\w-]*(?:\.\w[\w-]*)+")
 _TRIM = " \t\n\r\x0b\x0c,;:\"'"
 
@@ -342,7 +344,7 @@ def model_spans(model: Model, texts: list[str], batch: int = 256) -> list[list[t
 
     for k, text in enumerate(texts):
         code = symbols(text)
-        marks = np.flatnonzero((code == 29) | (code == 31))
+        marks = np.append(np.flatnonzero((code == 29) | (code == 31)), [m.start() for m in _AT.finditer(text)]).astype(np.int64)
         last = max(0, -(-(len(code) - WINDOW) // STRIDE))
         for w in np.unique(np.clip(np.concatenate([marks // STRIDE, marks // STRIDE - 1]), 0, last)).tolist():
             x = np.zeros(WINDOW, np.int64)
@@ -379,7 +381,11 @@ def reconcile(text: str, base: list[tuple[int, int, int]], added: list[tuple[int
 def all_spans(model: Model, column: pa.Array) -> tuple[list[str], list[list], list[list]]:
     """Texts of a batch, their base spans and all their spans."""
     data, offsets = tk.arrow_bytes(column)
-    marked = np.add.accumulate(np.append(0, (((data >= 48) & (data <= 57)) | (data == 64)).astype(np.int64)))
+    mark = ((data >= 48) & (data <= 57)) | (data == 64)
+    if len(data) > 3:  # (at) and [at]
+        a, d = data[:-3], data[3:]
+        mark[:-3] |= ((a == 40) | (a == 91)) & (data[1:-2] == 97) & (data[2:-1] == 116) & ((d == 41) | (d == 93))
+    marked = np.add.accumulate(np.append(0, mark.astype(np.int64)))
     some = marked[offsets[1:]] > marked[offsets[:-1]]
     texts = [x or "" for x in column.to_pylist()]
     base = [base_spans(x) if k else [] for x, k in zip(texts, some.tolist(), strict=True)]

@@ -177,6 +177,21 @@ def test_model_finds_forms_that_rules_miss_and_keeps_base(spark):
             assert r.spans == ""
 
 
+def test_model_finds_written_out_at_signs_without_digits(spark):
+    """An obfuscated address is found alike with and without a digit elsewhere in its window, and redacted."""
+    texts = ["please write to jane.doe (at) mail.example.org about the report", "é " * 300 + "please write to jane.doe (at) mail.example.org about the report", "you can reach anna[at]example.org for more"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(9, "look (at) this, and [at] that")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.scan(frame, pii.train()).collect()}
+    for i, t in enumerate(texts[:2]):
+        s = t.index("jane")
+        assert got[i] == f"email:{s}:{t.index('.org') + 4}"
+    for i, spans in enumerate(pii.model_spans(pii.train(), texts)):
+        digit = pii.model_spans(pii.train(), [texts[i] + " 5"])[0]
+        assert [x[1] for x in spans] == [x[1] for x in digit]
+    assert got[9] == "" and "<EMAIL>" in {r.doc_id: r.text for r in pii.redact(frame, pii.train()).collect()}[0]
+
+
 def test_redaction(spark):
     frame = cases.clashing(spark).limit(0).unionByName(cases.clashing(spark).limit(1)).drop("text").crossJoin(spark.createDataFrame([("to a.b@c.example.com now",), (None,)], "text string")).select(*cases.clashing(spark).columns)
     out = pii.redact(frame, pii.train())
