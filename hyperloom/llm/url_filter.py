@@ -4,8 +4,10 @@ Rules name a host and a path prefix; the longest that fits a page decides. Pages
 judged by their host. Hosts that rules speak for are seeds: trusted with the number of their allowed
 pages, blocked with the number of their blocked ones. Trust flows along links (personalised PageRank
 from the trusted seeds); distrust flows against them (a page that links to a bad host is suspect), from
-the blocked seeds. A host is blocked if distrust is at least SHARE of both together and above LEAST; a
-host that neither reaches is allowed.
+the blocked seeds. A host is blocked if distrust reaches it and is at least SHARE of both together; a
+host that neither reaches is allowed. Only the ratio counts: scores are shares of the whole table's seeds,
+so they shrink as it grows. The SQL still asks for distrust above LEAST, which differs only for hosts that
+distrust below it reaches over links.
 
 The graph is the host pairs of absolute links, counted before they are shuffled; scores are a table that
 each round joins with the edges and is written to the shared folder, so lineage stays short. Scores of
@@ -33,6 +35,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 20
 SHARE = 0.6
+#: In the SQL only.
 LEAST = 1e-9
 _LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,7 +102,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = work.keep(ruled.groupBy("host").agg(F.sum((F.col("rule.verdict") == "allow").cast("double")).alias("trusted"), F.sum((F.col("rule.verdict") == "block").cast("double")).alias("blocked")).select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")))
     edges = work.keep(host_edges(placed))
     score = propagate(seeds.where("host <> ''"), edges, work)
-    bad = (F.col("distrust") > LEAST) & (F.col("distrust") >= SHARE * (F.col("trust") + F.col("distrust")))
+    bad = (F.col("distrust") > 0) & (F.col("distrust") >= SHARE * (F.col("trust") + F.col("distrust")))
     own = F.when(bad, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule").join(score, "host", "left").select(
         "page_id", "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", own).alias("verdict"),

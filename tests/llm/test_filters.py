@@ -133,6 +133,17 @@ def test_propagation(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_verdicts_do_not_depend_on_table_size(spark):
+    """A chain of hosts that leads to a blocked one is blocked as well where millions of other pages are trusted."""
+    link = lambda h: f'<a href="http://{h}/p">l</a>'
+    pages = [(0, "http://x.com/de/1", ""), (1, "http://fan0.net/1", link("x.com")), (2, "http://fan1.net/1", link("fan0.net")), (3, "http://lone.net/1", "")]
+    pages += [(10 + i, f"http://many{i}.net/1", link("x.com")) for i in range(150)]
+    few = spark.createDataFrame(pages, "page_id long, url string, html string")
+    more = spark.range(6_000_000).selectExpr("id + 1000", "'http://good.org/1'", "cast(null as string)")
+    small, large = ({r.page_id: r.verdict for r in uf.judge(x).where("page_id < 1000").collect()} for x in (few, few.union(more)))
+    assert small == large and small[1] == small[2] == small[10] == "block" and small[3] == "allow"
+
+
 # --------------------------------------------------------------------------------- personal data
 
 PII = [
