@@ -14,6 +14,11 @@ SKETCH least token hashes relative to size), with a margin below the threshold.
 documents to candidate components, and a bucket that lies inside one component is not compared or split
 again: a large group of near copies is connected by a number of comparisons in proportion to its size.
 
+A pair may part in every split, so splits find links early but the recall does not rest on them, and the
+paths of the first runs alone are split: at the end, buckets of more than BUCKET documents that still hold two components are compared block against
+block, in full. A document takes part there by its rarest paths only (`kept_paths`): of the paths of a
+similar pair few are not shared, so the rarest shared one is among these on both sides.
+
 Check. Inside each candidate component every pair of different texts is compared exactly, in blocks
 of a matrix product, each text's set sent once per block pair. This gives each text's number of links
 and the final components.
@@ -32,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperloom.llm import textkernel as tk
@@ -56,8 +61,26 @@ JOINED = 0.45
 
 
 def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold has shared a path with the target probability."""
-    return math.ceil(-math.log(1 - recall) / (TAU * threshold))
+    """Runs after which a pair at the threshold has shared a path with twice the target's exponent.
+
+    Once would do for the sharing; the more paths there are, the more frequent ones `kept_paths` spares.
+    """
+    return math.ceil(-2 * math.log(1 - recall) / (TAU * threshold))
+
+
+def kept_paths(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many of its rarest paths a document must be compared by.
+
+    A pair at the threshold meets by its rarest shared path unless one of the two has as many paths that
+    it does not share; their number is Poisson, with a mean of at most 1 - threshold of all paths.
+    """
+    mean, n = runs_for(threshold, recall) * TAU * (1 - threshold), 0
+    term = left = math.exp(-mean)
+    while 1 - left > (1 - recall) / 2:
+        n += 1
+        term *= mean / n
+        left += term
+    return n + 1
 
 
 def _tokens(words: np.ndarray, raw: bytes) -> np.ndarray:
@@ -148,6 +171,60 @@ def _connect(batches):
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
+def _across(batches):
+    """Pairs of blocks of large buckets (rows of equal path, first and second block, in sequence) to edges.
+
+    Rows: path, first, second, the document's own block, id, component, size, sketch. The comparison is
+    that of `_alike`, for all pairs at once, and edges connect components not yet connected here.
+    """
+
+    def edges(first: int, second: int, rows: list):
+        left, right = ([x for x in rows if x[0] == k] for k in (first, second))
+        if not left or not right:
+            return
+        both = overlaps([x[4] for x in left], [x[4] for x in right])
+        sizes_l, sizes_r = (np.array([x[3] for x in side]) for side in (left, right))
+        limit = SKETCH / np.maximum(sizes_l[:, None], sizes_r[None, :]) * 2.0**32
+        every = -both
+        for i, x in enumerate(left):
+            every[i] += np.searchsorted(x[4], limit[i], "right")
+        for j, x in enumerate(right):
+            every[:, j] += np.searchsorted(x[4], limit[:, j], "right")
+        fits = np.minimum(sizes_l[:, None], sizes_r[None, :]) >= 0.4 * np.maximum(sizes_l[:, None], sizes_r[None, :])
+        own_l, own_r = (np.array([x[2] for x in side]) for side in (left, right))
+        alike = fits & (both > 0) & (both >= JOINED * np.maximum(every, both)) & (own_l[:, None] != own_r[None, :])
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while (up := parent.setdefault(x, x)) != x:
+                x = up
+            return x
+
+        for i, j in np.argwhere(alike).tolist():
+            a, b = top(left[i][2]), top(right[j][2])
+            if a != b:
+                parent[a] = b
+                yield left[i][1], right[j][1]
+
+    def closed():
+        found = [] if at is None else list(edges(at[1], at[2], rows))
+        if found:
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["u", "v"])
+
+    at, rows = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        blocks, ids, own, sizes = (batch.column(i).to_pylist() for i in range(3, 7))
+        sketches = batch.column(7)
+        values, ends = sketches.flatten().to_numpy().view(np.uint32), np.asarray(sketches.offsets) - sketches.offsets[0].as_py()
+        for i, where in enumerate(keys):
+            if where != at:
+                yield from closed()
+                at, rows = where, []
+            rows.append((blocks[i], ids[i], own[i], sizes[i], values[ends[i] : ends[i + 1]]))
+    yield from closed()
+
+
 def _split(batches):
     """Documents of large buckets to longer paths: tokens sampled anew by the path's own hash, DEPTH times."""
     for batch in batches:
@@ -171,16 +248,18 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _candidates(reps: DataFrame, work: Work) -> DataFrame:
-    """(id, root) of the representatives that sketches connect with others."""
+def _candidates(reps: DataFrame, work: Work, keep: int | None = None) -> DataFrame:
+    """(id, root) of the representatives that sketches connect with others; keep: see `kept_paths`."""
+    keep = kept_paths() if keep is None else keep
     spark = reps.sparkSession
     # Only documents that share a path go on; the first sharing is found on ids and paths alone.
     every = reps.select("id", F.posexplode("paths").alias("at", "path"))
-    shared = every.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
-    shared = work.keep(every.join(shared, "path").select("path", "id", (F.col("at") < FIRST).alias("first")))
+    shared = every.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.keep(every.join(shared, "path").select("path", "id", (F.col("at") < FIRST).alias("first"), F.col("n").cast("int").alias("n")))
     sketches = work.keep(reps.select("id", "size", "sketch").hint("merge").join(shared.select("id").distinct(), "id"))
-    fresh = [shared.where("first").select("path", "id"), shared.where("not first").select("path", "id")]
-    roots, entries, level = None, fresh.pop(0), 0
+    # All paths again after the first: a path may be among the first of one document of a pair only.
+    fresh = [shared.where("first").select("path", "id"), shared.select("path", "id")]
+    roots, entries, level, splits = None, fresh.pop(0), 0, True
 
     def mixed(found: DataFrame) -> DataFrame:
         """The entries of buckets that hold two components or more, with their component and the bucket's count."""
@@ -196,7 +275,7 @@ def _candidates(reps: DataFrame, work: Work) -> DataFrame:
         placed = work.keep(mixed(entries).select("path", "id", "own", blocks.alias("blocks")))
         block = F.pmod(F.xxhash64("id", "path", F.lit(level)), F.col("blocks")).cast("int")
         rows = placed.withColumn("block", block)
-        last = level >= LEVELS
+        last = splits and level >= LEVELS
         if last:  # no split made these small: every pair of blocks is one bucket
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             rows = rows.withColumn("other", other).withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
@@ -208,16 +287,27 @@ def _candidates(reps: DataFrame, work: Work) -> DataFrame:
         large = placed.where("blocks > 1").select("path", "id")
         level += 1
         more = None
-        if not last and not large.isEmpty():
+        if splits and not last and not large.isEmpty():
             more = mixed(large).hint("merge").join(sketches, "id").select("path", "id", "size", "sketch").mapInArrow(_split, "path long, id long")
-        if fresh:
-            more = fresh[0] if more is None else more.union(fresh[0])
-            fresh.pop()
-        if more is None:
-            return roots
-        entries = work.keep(more)
-        if entries.isEmpty():
-            return roots
+        entries = None if more is None else work.keep(more)
+        if entries is None or entries.isEmpty():
+            if not fresh:
+                break
+            entries, splits = fresh.pop(), False
+    # Pairs that every split parted: large buckets in full, each document by its rarest paths.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("path")))
+    large = shared.where(F.col("n") > BUCKET).select("path", "id", "n").withColumn("rank", rank)
+    large = large.join(reps.select("id", F.size("paths").alias("all")), "id").where(F.col("rank") > F.col("all") - keep)
+    blocks = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
+    placed = work.keep(mixed(large).select("path", "id", "own", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "path"), blocks).cast("int").alias("block")))
+    if placed.isEmpty():
+        return roots
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = placed.hint("merge").join(sketches, "id").withColumn("other", other)
+    rows = rows.select("path", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "own", "size", "sketch")
+    rows = rows.repartition(_parts(spark), "path", "first", "second").sortWithinPartitions("path", "first", "second")
+    found = work.keep(rows.mapInArrow(_across, "u long, v long"))
+    return roots if found.isEmpty() else components(roots.union(found).toDF("u", "v"), work)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
@@ -316,7 +406,7 @@ def _joined(keyed: DataFrame, work: Work, threshold: float, recall: float) -> tu
     own = F.col("least") if plain else F.xxhash64("key")
     classes = described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first(F.struct("size", "paths", "sketch")).alias("x"))
     classes = work.keep(classes.select("key", "least", own.alias("id"), "n", "x.size", "x.paths", "x.sketch"))
-    near = work.keep(_candidates(classes, work).join(classes.select("id", "key", "size"), "id").select("id", "root", "key", "size"))
+    near = work.keep(_candidates(classes, work, kept_paths(threshold, recall)).join(classes.select("id", "key", "size"), "id").select("id", "root", "key", "size"))
     # Exact check: each component's texts, in pairs of blocks.
     counts = near.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))).cast("int")

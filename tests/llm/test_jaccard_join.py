@@ -85,6 +85,35 @@ def test_large_buckets_are_split_and_blocks_are_exact(spark, monkeypatch):
     assert result(spark, docs) == brute(docs)
 
 
+def test_recall_on_texts_made_wholly_of_frequent_passages(spark, monkeypatch):
+    """Pairs at 0.82 all of whose tokens are in large buckets, and which are like nothing else, are all found."""
+    monkeypatch.setattr(jj, "BUCKET", 6)
+    draw = np.random.default_rng(4)
+    cut = lambda hashes, rate: hashes[hashes <= np.uint64(int(rate / len(hashes) * 2.0**64))]
+    rows = []
+    for k in range(150):
+        chosen = draw.permutation(60)[:11]
+        for i, passages in enumerate((chosen[:10], chosen[1:])):
+            tokens = (passages[:, None] * 20 + np.arange(20)).ravel().astype(np.uint64)
+            hashes = np.sort(jj.tk.mix(jj.tk.mix(tokens + np.uint64(1))))
+            paths = cut(hashes, jj.runs_for() * jj.TAU).view(np.int64).tolist()
+            sketch = (cut(hashes, jj.SKETCH) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+            rows.append((2 * k + i, len(hashes), paths, sketch))
+    work = Work(spark, "test")
+    reps = work.keep(spark.createDataFrame(rows, "id long, size int, paths array<long>, sketch array<int>"))
+    roots = {r.id: r.root for r in jj._candidates(reps, work).collect()}
+    missed = [k for k in range(150) if roots.get(2 * k, -1) != roots.get(2 * k + 1, -2)]
+    assert not missed, missed
+
+
+def test_kept_paths_hold_the_recall():
+    mean, term, tail = jj.runs_for() * jj.TAU * (1 - jj.THRESHOLD), 1.0, 0.0
+    for n in range(1, 200):
+        term *= mean / n
+        tail += term if n >= jj.kept_paths() else 0
+    assert tail * np.exp(-mean) + np.exp(-jj.runs_for() * jj.TAU * jj.THRESHOLD) <= 1 - jj.RECALL
+
+
 def test_odd_rows(spark):
     docs = [(r[0], r[1]) for r in cases.rows()]
     assert result(spark, docs) == brute(docs)
