@@ -9,7 +9,8 @@ host that neither reaches is allowed. Only the ratio counts: scores are shares o
 so they shrink as it grows. The SQL still asks for distrust above LEAST, which differs only for hosts that
 distrust below it reaches over links.
 
-The graph is the host pairs of absolute links, counted before they are shuffled; scores are a table that
+The graph is the host pairs of links that name a host, with a scheme or without (the SQL takes those with
+one only), counted before they are shuffled; scores are a table that
 each round joins with the edges and is written to the shared folder, so lineage stays short. Scores of
 nodes without outgoing links return to the seeds.
 
@@ -37,7 +38,9 @@ ROUNDS = 20
 SHARE = 0.6
 #: In the SQL only.
 LEAST = 1e-9
+#: Links with a scheme, as the SQL finds them, and those that take the page's own as well.
 _LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
+_ANY_LINK = _LINK.replace("[a-z][a-z0-9+.-]*://", "(?:[a-z][a-z0-9+.-]*:)?//")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +66,8 @@ def rule_of(host, path, rules=RULES):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(source, target, weight): absolute links between different hosts, of pages (host, html)."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))
+    """(source, target, weight): links that name a host, between different hosts, of pages (host, html)."""
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_ANY_LINK), F.lit(1))
     targets = F.array_distinct(F.transform(links, lambda x: F.translate(x, _UPPER, _LOWER)))
     pairs = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(targets).alias("target"))
     return pairs.where("source <> target and target <> ''").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))

@@ -133,6 +133,12 @@ def test_propagation(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_links_without_a_scheme(spark):
+    html = "<a href='//X.com/p'>l</a> <a href=//y.com>l</a> <a href=\"https://z.com\">l</a> <a href='/local//path'>l</a> <a href='a//b.com'>l</a>"
+    got = {(r.source, r.target) for r in uf.host_edges(spark.createDataFrame([("a.net", html)], "host string, html string")).collect()}
+    assert got == {("a.net", h) for h in ("x.com", "y.com", "z.com")}
+
+
 def test_verdicts_do_not_depend_on_table_size(spark):
     """A chain of hosts that leads to a blocked one is blocked as well where millions of other pages are trusted."""
     link = lambda h: f'<a href="http://{h}/p">l</a>'
