@@ -1,24 +1,29 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is a weighted set: its runs of five words, each weighted by how often it occurs. The
-signature has SLOTS samples. In each sample every unit of every run's weight (the run's first, second,
-... occurrence) has an arrival time that depends on the run, the unit and the sample only, and the
-earliest unit wins. Winners of two documents agree with a probability equal to their generalised Jaccard
-similarity, in every sample independently.
-
-A unit's times over all samples are one Poisson process whose arrivals are dealt to samples at random.
-Arrivals are drawn in order of time, and a unit is left as soon as its next one is later than the winners
-of all samples: later ones can't win, so the result is that of drawing SLOTS times for every unit, for
-about 700 draws a document and one to two a word.
+signature has SLOTS samples. Every sample draws r and c from Gamma(2, 1) and b from U(0, 1) for each run,
+by the run's own hash. A run of weight w has the level t = floor(ln w / r + b) and the rank
+c / exp(r (t + 1 - b)); the run of least rank wins the sample, with its level. Winners of two documents
+agree, in run and level, with a probability equal to their generalised Jaccard similarity, in every sample.
+
+Order of drawing. At weight 1 the level is 0 and a run's ranks over the samples are independent Exp(1)
+variables, so they are drawn ascending (gaps of order statistics, samples in a permutation by the run's
+hash), and a run of weight 1 is left as soon as its next rank is above the winners of all samples: later
+ones can't win. Given a rank a at weight 1, the gamma draws are recovered exactly: with independent
+exponentials E and E', z = 1 + E / a, r = ln z + E', b = 1 - ln z / r and c = a z have their joint law.
+So runs of any other weight draw all samples from the same numbers, and the result is that of drawing
+(r, c, b) for every run and sample, at one to two draws a word.
 
 Defined results: null text counts as empty; a text without words has the one run made of its bytes, so
 only equal texts agree; equal texts have equal fingerprints; two empty texts have likeness 1; documents
-with a null id come first; rows of equal id are ordered by text and each keeps its own row.
+with a null id come first; rows of equal id are ordered by their text's hash and each keeps its own row;
+an empty table gives an empty result; columns besides id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ from hyperloom.llm.shared import small_batches, table, text_column
 
 SLOTS = 128
 WIDTH = 5
-_COPY, _DRAW = tk.mix(np.array([101, 102], np.uint64)) | np.uint64(1)
-#: Arrivals drawn at once: for each unit, and for all together.
+_DRAW, _ORDER, _FIRST, _SECOND, _CODE = tk.mix(np.arange(101, 106, dtype=np.uint64)) | np.uint64(1)
+#: Ranks drawn at once: of each run, and of all together.
 _AHEAD, _DRAWS = 64, 1 << 20
 
 
@@ -43,53 +48,87 @@ def weighted_runs(words: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray
     return np.unique(runs, return_counts=True)
 
 
+def _exponential(bits: np.ndarray) -> np.ndarray:
+    return -np.log(((bits >> np.uint64(11)) + 0.5) * 2.0**-53)
+
+
+def _sample_of(terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The samples of the terms' ranks number `at`, a permutation of all samples for each term."""
+    key = tk.mix(terms ^ _ORDER)[:, None]
+    part = lambda shift: ((key >> np.uint64(shift)) & np.uint64(0xFF)).astype(np.uint8)
+    x = np.broadcast_to(at.astype(np.uint8), (len(terms), len(at)))
+    for k in range(3):
+        x = (x * (part(16 * k) | np.uint8(1)) + part(16 * k + 8)) & np.uint8(SLOTS - 1)
+        if k < 2:
+            x = x ^ (x >> np.uint8(4 - k))
+    return x.astype(np.int64)
+
+
+def ranks(terms: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks number `at` (consecutive, from 0) of terms at weight 1, ascending; start: the rank before the first."""
+    out = _exponential(tk.mix(terms[:, None] + (at + 1).astype(np.uint64) * _DRAW)) / (SLOTS - at)
+    out[:, 0] += start
+    return np.cumsum(out, axis=1)
+
+
+def gammas(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sample, r, c, b) of all SLOTS samples of each term."""
+    at = np.arange(SLOTS)
+    rank = ranks(terms, np.zeros(len(terms)), at)
+    draw = lambda salt: _exponential(tk.mix(tk.mix(terms ^ salt)[:, None] + at.astype(np.uint64) * _DRAW))
+    z = 1 + draw(_FIRST) / rank
+    r = np.log(z) + draw(_SECOND)
+    return _sample_of(terms, at), r, rank * z, 1 - np.log(z) / r
+
+
 def sample(terms: np.ndarray, weights: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """Signatures (n rows of SLOTS 16-bit codes, 0 for an empty slot) of terms with whole weights.
+    """Signatures (n rows of SLOTS 16-bit codes, 0 for an empty slot) of terms with positive weights.
 
     docs gives each term's row. A row with any term fills all its slots.
     """
-    times = weights.astype(np.int64)
-    docs = np.repeat(docs, times)
-    copy = np.arange(len(docs)) - np.repeat(np.cumsum(times) - times, times)
-    units = tk.mix(np.repeat(terms, times) ^ tk.mix(copy.astype(np.uint64) * _COPY))
-    now, drawn, ahead = np.zeros(len(units)), np.uint64(1), 1
     least, out = np.full(n * SLOTS, np.inf), np.zeros(n * SLOTS, np.uint16)
-    while len(units):
-        size = max(1, _DRAWS // ahead)
+
+    def offer(terms, docs, slot, rank, level):
+        cell = docs[:, None] * SLOTS + slot
+        np.minimum.at(least, cell.ravel(), rank.ravel())
+        row, column = np.nonzero(rank == least[cell])
+        won = terms[row]
+        if level is not None:  # level 0 has the code of a run of weight 1
+            won = won ^ (level[row, column].astype(np.int64).view(np.uint64) * _SECOND)
+        out[cell[row, column]] = (tk.mix(won ^ _CODE) % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
+
+    heavy = np.flatnonzero(weights != 1)
+    for lo in range(0, len(heavy), _DRAWS // SLOTS):
+        own = heavy[lo : lo + _DRAWS // SLOTS]
+        slot, r, c, b = gammas(terms[own])
+        level = np.floor(np.log(weights[own])[:, None] / r + b)
+        rank = c / np.exp(r * (level + 1 - b))
+        offer(terms[own], docs[own], slot, rank, level)
+    light = weights == 1
+    units, docs, now, drawn, ahead = terms[light], docs[light], np.zeros(int(light.sum())), 0, 1
+    while len(units) and drawn < SLOTS:
+        at = np.arange(drawn, min(drawn + ahead, SLOTS))
+        size = max(1, _DRAWS // len(at))
         for lo in range(0, len(units), size):
             part = slice(lo, lo + size)
-            bits = tk.mix(units[part, None] + (np.arange(ahead, dtype=np.uint64) + drawn) * _DRAW)
-            at = -np.log(((bits >> np.uint64(11)) + 0.5) * 2.0**-53)
-            at[:, 0] += now[part]
-            at = np.cumsum(at, axis=1)
-            now[part] = at[:, -1]
-            cell = docs[part, None] * SLOTS + (bits % np.uint64(SLOTS)).astype(np.int64)
-            np.minimum.at(least, cell.ravel(), at.ravel())
-            row, column = np.nonzero(at == least[cell])
-            code = tk.mix(units[part][row] ^ _DRAW) % np.uint64(0xFFFF) + np.uint64(1)
-            out[cell[row, column]] = code.astype(np.uint16)
+            rank = ranks(units[part], now[part], at)
+            now[part] = rank[:, -1]
+            offer(units[part], docs[part], _sample_of(units[part], at), rank, None)
         open_ = now < least.reshape(n, SLOTS).max(axis=1)[docs]
         units, docs, now = units[open_], docs[open_], now[open_]
-        drawn, ahead = drawn + np.uint64(ahead), min(2 * ahead, _AHEAD)
+        drawn, ahead = drawn + len(at), min(2 * ahead, _AHEAD)
     return out.reshape(n, SLOTS)
 
 
 def signatures(texts: list[str]) -> np.ndarray:
     """Signatures of whole texts."""
-    data, offsets = tk.arrow_bytes(pa.array(texts, pa.large_string()))
     out = np.zeros((len(texts), SLOTS), np.uint16)
-    at = 0
-    while at < len(texts):  # as many documents at once as make a block
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tk.BLOCK, "right")) - 1)
-        part = data[offsets[at] : offsets[to]]
-        words, rows = tk.word_hashes(tk.lowered(part), offsets[at : to + 1] - offsets[at])
-        found = [weighted_runs(words[rows[i] : rows[i + 1]], part[offsets[at + i] - offsets[at] : offsets[at + i + 1] - offsets[at]].tobytes() if rows[i] == rows[i + 1] else b"") for i in range(to - at)]
+    for at, to, words, rows in tk.word_rows(pa.array(texts, pa.large_string())):
+        found = [weighted_runs(words[rows[i] : rows[i + 1]], texts[at + i].encode() if rows[i] == rows[i + 1] else b"") for i in range(to - at)]
         terms = np.concatenate([x[0] for x in found])
         if len(terms):
-            weights = np.concatenate([x[1] for x in found]).astype(np.float64)
             docs = np.repeat(np.arange(to - at), [len(x[0]) for x in found])
-            out[at:to] = sample(terms, weights, docs, to - at)
-        at = to
+            out[at:to] = sample(terms, np.concatenate([x[1] for x in found]).astype(np.float64), docs, to - at)
     return out
 
 
@@ -116,21 +155,47 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Existing ids that cut the ids into about `parts` equal ranges, ascending."""
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("x")).first().x if parts > 1 else []
-    return sorted(set(found or []))
-
+def _bounds(docs: DataFrame, parts: int) -> tuple[list[tuple], tuple]:
+    """The first (id, hash) of each of about `parts` ranges after the first one, ascending; and that of the table.
 
-def _range_of(column, bounds: list[int]):
-    """How many bounds are not above the column: binary choice over groups of bounds, then inside one."""
+    Ranges are cut at quantiles of the ids. An id that fills several ranges is cut by its texts' hashes, for
+    which alone texts are read here. Only texts that repeat under one id stay together.
+    """
+    quantiles = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)
+    found = docs.agg(quantiles.alias("x"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    times, first = Counter(found.x if found.x and parts > 1 else []), None if found.nulls else found.low
+    if found.nulls * parts > found.n:
+        times[None] = found.nulls * parts // found.n + 1
+    many = {i: k for i, k in times.items() if k > 1}
+    if not many:
+        return sorted(((i, None) for i in times), key=lambda x: x[0]), (first, None)
+    # An id is cut into as many equal ranges of the hash as it had quantiles; each starts at its least hash.
+    cut = F.lit(None).cast("int")
+    for i, k in many.items():
+        place = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * k).cast("int")
+        cut = F.when(F.col("doc_id").eqNullSafe(F.lit(i).cast("long")), place).otherwise(cut)
+    ends = {*times, first}
+    named = F.col("doc_id").isin([i for i in ends if i is not None])
+    firsts = docs.where(named | F.col("doc_id").isNull() if None in ends else named).select("doc_id", F.xxhash64("text").alias("hash"))
+    rows = firsts.groupBy("doc_id", cut.alias("cut")).agg(F.min("hash").alias("hash")).collect()  # at most about 2 * parts
+    rows = sorted(((x.doc_id, x.hash) for x in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    return rows[1:], rows[0]
+
+
+def _place(i, h):
+    return F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(h).cast("long").alias("hash"))
+
+
+def _range_of(own, bounds: list[tuple]):
+    """How many bounds are not above a place: binary choice over groups of bounds, then inside one. And whether it is the last of them."""
     if not bounds:
-        return F.lit(0)
+        return F.lit(0), F.lit(False)
     width = max(1, int(len(bounds) ** 0.5))
-    every, heads = F.lit(bounds), F.lit(bounds[::width])
-    group = F.size(F.filter(heads, lambda x: x <= column))
-    inside = F.size(F.filter(F.slice(every, (group - 1) * width + 1, F.lit(width)), lambda x: x <= column))
-    return F.when(column.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * width + inside).cast("int")
+    every, heads = F.array(*(_place(*x) for x in bounds)), F.array(*(_place(*x) for x in bounds[::width]))
+    group = F.size(F.filter(heads, lambda x: x <= own))
+    inside = F.size(F.filter(F.slice(every, (group - 1) * width + 1, F.lit(width)), lambda x: x <= own))
+    part = F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("int")
+    return part, (part > 0) & F.element_at(every, F.greatest(part, F.lit(1))).eqNullSafe(own)
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -153,26 +218,24 @@ def _rows(ids: list, texts: list[str], codes: np.ndarray):
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside its edited text's and the next document's.
 
-    Documents are dealt out by id ranges, each range sorted and streamed, so a document's next one is
-    the next row. The first document of each range goes to the range before as well (the very first to
-    the last), so no range needs another one's rows. The texts are shuffled once.
+    Documents are dealt out by ranges of id and text hash, each range sorted and streamed, so a document's
+    next one is the next row. The first document of each range goes to the range before as well (the very
+    first to the last), so no range needs another one's rows. The texts are shuffled once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(docs, parts)
-    low = docs.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    is_first = F.col("doc_id").isNull() if low.nulls else F.col("doc_id") == F.lit(low.low)
-    last = len(bounds)
-    part = _range_of(F.col("doc_id"), bounds)
-    copies = F.array(F.struct(part.alias("part"), F.lit(0).alias("edge")))
-    if bounds:
-        at_bound = F.col("doc_id").isin(bounds) & F.col("doc_id").isNotNull()
-        copies = F.when(at_bound, F.concat(copies, F.array(F.struct((part - 1).cast("int").alias("part"), F.lit(1).alias("edge"))))).otherwise(copies)
-    copies = F.when(is_first, F.concat(copies, F.array(F.struct(F.lit(last).alias("part"), F.lit(2).alias("edge"))))).otherwise(copies)
+    bounds, first = _bounds(docs, parts)
+    by_hash, last = any(h is not None for _, h in (*bounds, first)), len(bounds)
+    own = F.struct("doc_id", (F.xxhash64("text") if by_hash else F.lit(None).cast("long")).alias("hash"))
+    part, at_bound = _range_of(own, bounds)
+    edge = lambda p, k: F.array(F.struct(p.cast("int").alias("part"), F.lit(k).alias("edge")))
+    copies = edge(part, 0)
+    copies = F.when(at_bound, F.concat(copies, edge(part - 1, 1))).otherwise(copies)
+    copies = F.when(own.eqNullSafe(_place(*first)), F.concat(copies, edge(F.lit(last), 2))).otherwise(copies)
     dealt = docs.select("doc_id", "text", F.explode(copies).alias("at")).select("at.part", "at.edge", "doc_id", "text")
-    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "edge", "doc_id", "text")
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "edge", "doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         part, ids, texts, codes, closed = None, [], [], None, False

@@ -55,8 +55,9 @@ def index_vectors(seeds: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray):
     """Per block of whole rows or part of a long one: hashes, shapes and rows of the words."""
-    for lo, hi in tk.blocks(data, offsets, _WORD):
-        starts, ends = tk.spans(data, offsets, lo, hi, _WORD)
+    inside = _WORD[data]
+    for lo, hi in tk.blocks(inside, offsets):
+        starts, ends = tk.spans(inside, offsets, lo, hi)
         if len(starts):
             block = data[lo:hi]
             found = tk.hash_spans(tk.lowered(block), starts, ends)

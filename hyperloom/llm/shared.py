@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; keeps a batch of long texts small.
-ARROW_ROWS = 512
+#: Rows and bytes handed to Python at once; a batch ends at either, so only a single longer text exceeds the bytes.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -19,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> Da
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, and so a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds an Arrow batch, and so a Python worker's memory.
+
+    Plans read these two settings when they run, so they are lowered in the session; lower ones stay.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    for name, now, most in (("maxRecordsPerBatch", conf.arrowMaxRecordsPerBatch(), ARROW_ROWS), ("maxBytesPerBatch", conf.arrowMaxBytesPerBatch(), ARROW_BYTES)):
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here.
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    A local folder is made only where the session names none, which is a single machine.
+    On a single machine without either a local one is made; a cluster without either is an error, since
+    executors would write to their own disks.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     found = found or spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="hyperloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -43,8 +53,9 @@ class Work:
     """A folder in the shared store for written intermediate tables.
 
     `keep` writes a frame and reads it back: the lineage is cut, each stage runs once, and a lost
-    executor loses nothing. `drop` deletes a table that nothing reads any longer; the rest goes when
-    the driver's process ends, because lazily evaluated results still read it.
+    executor loses nothing. `drop` deletes a table that nothing reads any longer, and `settle` keeps an
+    operator's result and deletes all else; what is left goes when the driver's process ends, because
+    lazily evaluated results still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -65,6 +76,13 @@ class Work:
         if path := getattr(frame, "_work_path", None):
             self._delete(path)
 
+    def settle(self, frame: DataFrame) -> DataFrame:
+        """The frame, kept; every table kept before is deleted."""
+        kept = self.keep(frame)
+        for k in range(1, self._count):
+            self._delete(f"{self.path}/{k:04d}")
+        return kept
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -1,12 +1,18 @@
-"""Vectorised text work on Arrow batches: word spans, word hashes, shingles.
+"""Vectorised text work on Arrow batches: word spans, word hashes, shingles, code points.
 
 Everything runs on the UTF-8 bytes of a whole batch at once, in blocks of bounded size, so that no
 Python loop runs per word. A block never cuts a word: a document longer than a block is cut at a
 separator, and a word longer than a block makes its block longer.
+
+A word is a run of letters, marks and digits of any script, in lower case. In scripts that put no spaces
+between words (LONE) every character is a word of its own, so five words are five characters there.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,9 +24,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Space and the bytes 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: ASCII letters and digits, and every byte of a character beyond ASCII.
+#: ASCII letters and digits.
 WORDLIKE = np.zeros(256, bool)
-WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
+WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = True
+#: Code points of scripts without spaces, first and last: Thai and Lao, Tibetan, Myanmar, Khmer, New Tai Lue to
+#: Tai Tham, kana and CJK with their extensions, compatibility ideographs, half-width kana, and planes 2 and 3.
+LONE = ((0x0E01, 0x0EFF), (0x0F40, 0x0FBC), (0x1000, 0x109F), (0x1780, 0x17D3), (0x1950, 0x1AAD), (0x3005, 0x3007), (0x3021, 0x312F),
+        (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,8 +81,15 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def lower(column: pa.Array) -> pa.Array:
+    """A string column in lower case, by Unicode's rules; null is empty."""
+    column = pc.fill_null(column, "")
+    data, _ = arrow_bytes(column)
+    return pc.utf8_lower(column) if len(data) and data.max() >= 128 else pc.ascii_lower(column)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Bytes with ASCII and Latin-1 capitals in lower case."""
+    """Bytes with ASCII and Latin-1 capitals in lower case, each in its place."""
     out = _LOWER[data]
     if len(out) > 1:
         at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
@@ -80,9 +97,63 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-    """(from, to) byte ranges of at most about BLOCK bytes that cut no word."""
-    at, end = 0, len(data)
+@functools.cache
+def _classes() -> np.ndarray:
+    """By code point: 0 separator, 1 part of a word, 2 a word of its own."""
+    out = np.zeros(0x110000, np.uint8)
+    out[:0x20000] = [unicodedata.category(chr(c))[0] in "LMN" for c in range(0x20000)]
+    for first, last in LONE:
+        out[first : last + 1][out[first : last + 1] == 1] = 2
+    out[0x20000:0x40000] = 2
+    return out
+
+
+def _beyond(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths in bytes and code points of the characters beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.uint32)
+    more = 1 + (lead >= 0xE0) + (lead >= 0xF0).astype(np.int64)
+    end = len(data) - 1
+    tail = [data[np.minimum(at + k, end)].astype(np.uint32) & 0x3F for k in (1, 2, 3)]
+    two = ((lead & 0x1F) << 6) | tail[0]
+    three = ((lead & 0x0F) << 12) | (tail[0] << 6) | tail[1]
+    four = ((lead & 0x07) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2]
+    return at, more + 1, np.where(more == 1, two, np.where(more == 2, three, np.minimum(four, 0x10FFFF)))
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of rows of UTF-8 bytes, and the rows' offsets in them."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), offsets
+    first = (data & 0xC0) != 0x80
+    out = data.astype(np.uint32)
+    at, _, found = _beyond(data)
+    out[at] = found
+    return out[first], np.append(0, np.cumsum(first))[offsets]
+
+
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Masks over bytes: inside a word; first and last byte of a character that is a word (None: none is)."""
+    inside = WORDLIKE[data]
+    at, length, code = _beyond(data)
+    if not len(at):
+        return inside, None, None
+    kind = _classes()[code]
+    for k in range(4):
+        has = at[(kind > 0) & (length > k)] + k
+        inside[has[has < len(data)]] = True
+    lone = kind == 2
+    if not lone.any():
+        return inside, None, None
+    begin, finish = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    begin[at[lone]] = True
+    finish[np.minimum(at[lone] + length[lone], len(data)) - 1] = True
+    return inside, begin, finish
+
+
+def blocks(inside: np.ndarray, offsets: np.ndarray):
+    """(from, to) byte ranges of at most about BLOCK bytes that cut no word; inside: mask over the bytes."""
+    at, end = 0, len(inside)
     while at < end:
         to = min(at + BLOCK, end)
         if to < end:
@@ -91,19 +162,19 @@ def blocks(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
                 to = int(offsets[k])
             else:  # one document fills the block
                 stop = int(offsets[k + 1])
-                free = np.flatnonzero(~inside[data[at:to]])
+                free = np.flatnonzero(~inside[at:to])
                 if len(free):
                     to = at + int(free[-1]) + 1
                 else:
-                    later = np.flatnonzero(~inside[data[to:stop]])
+                    later = np.flatnonzero(~inside[to:stop])
                     to = to + int(later[0]) + 1 if len(later) else stop
         yield at, to
         at = to
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the words of data[lo:hi], counted from lo."""
-    is_in = inside[data[lo:hi]]
+def spans(inside: np.ndarray, offsets: np.ndarray, lo: int, hi: int, begin: np.ndarray | None = None, finish: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the words in bytes lo to hi, counted from lo."""
+    is_in = inside[lo:hi]
     cuts = offsets[(offsets > lo) & (offsets < hi)] - lo
     before = np.empty_like(is_in)
     before[0] = False
@@ -113,6 +184,12 @@ def spans(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, inside: np.nd
     after[-1] = False
     after[:-1] = is_in[1:]
     after[cuts - 1] = False
+    if begin is not None:
+        begin, finish = begin[lo:hi], finish[lo:hi]
+        before[1:] &= ~finish[:-1]
+        before &= ~begin
+        after[:-1] &= ~begin[1:]
+        after &= ~finish
     return np.flatnonzero(is_in & ~before), np.flatnonzero(is_in & ~after) + 1
 
 
@@ -125,11 +202,12 @@ def hash_spans(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORDLIKE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offsets of the rows in them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of lower-case rows in order, and the offsets of the rows in them."""
     found, starts_all = [], []
-    for lo, hi in blocks(data, offsets, inside):
-        starts, ends = spans(data, offsets, lo, hi, inside)
+    inside, begin, finish = word_bytes(data)
+    for lo, hi in blocks(inside, offsets):
+        starts, ends = spans(inside, offsets, lo, hi, begin, finish)
         if len(starts):
             found.append(hash_spans(data[lo:hi], starts, ends))
             starts_all.append(starts + lo)
@@ -138,6 +216,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD
     return np.concatenate(found), np.searchsorted(np.concatenate(starts_all), offsets)
 
 
+def word_rows(column: pa.Array):
+    """(first row, row after the last, word hashes, offsets of the rows in them) of a string column, about BLOCK bytes at once."""
+    data, offsets = arrow_bytes(lower(column))
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        yield at, to, *word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        at = to
+
+
 _ROLE = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 

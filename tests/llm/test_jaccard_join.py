@@ -10,10 +10,11 @@ from hyperloom.llm import jaccard_join as jj
 from hyperloom.llm.components import components
 from hyperloom.llm.shared import Work
 from tests.llm import cases
+from tests.llm.test_fingerprint import plain_words
 
 
 def shingles(text):
-    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    words = plain_words(text)
     k = min(5, len(words))
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset([text])
 
@@ -73,45 +74,98 @@ def test_join_matches_all_pairs(spark):
     assert result(spark, docs) == brute(docs)
 
 
-def test_large_buckets_are_split_and_blocks_are_exact(spark, monkeypatch):
-    """Small limits drive every document through splits, block pairs and the rounds of the components."""
+@pytest.mark.parametrize("large,levels", [(1 << 18, 3), (12, 2)])
+def test_large_buckets_and_ranges_are_exact(spark, monkeypatch, large, levels):
+    """Small limits drive every document through grids of ranges, splits, and the rounds of the components."""
     from hyperloom.llm import components as cc
 
-    monkeypatch.setattr(jj, "BUCKET", 6)
-    monkeypatch.setattr(jj, "BLOCK", 5)
-    monkeypatch.setattr(jj, "LEVELS", 2)
+    for name, value in (("RANGE", 6), ("LARGE", large), ("LEVELS", levels), ("BLOCK", 5), ("FEW", 3)):
+        monkeypatch.setattr(jj, name, value)
     monkeypatch.setattr(cc, "ONE_TASK", 0)
     docs = near_copies(5, 160)
     assert result(spark, docs) == brute(docs)
 
 
-def test_recall_on_texts_made_wholly_of_frequent_passages(spark, monkeypatch):
-    """Pairs at 0.82 all of whose tokens are in large buckets, and which are like nothing else, are all found."""
-    monkeypatch.setattr(jj, "BUCKET", 6)
-    draw = np.random.default_rng(4)
-    cut = lambda hashes, rate: hashes[hashes <= np.uint64(int(rate / len(hashes) * 2.0**64))]
+def test_scripts_without_spaces(spark):
+    draw = np.random.default_rng(6)
+    texts = ["".join(chr(0x4E00 + int(i)) for i in draw.integers(0, 3000, 300)) for _ in range(6)]
+    docs = list(enumerate(texts)) + [(10 + i, t[:100] + "們" + t[101:]) for i, t in enumerate(texts[:3])]
+    got = result(spark, docs)
+    assert got == brute(docs) and sum(x[1] != x[0] for x in got) == 3
+
+
+def described(sets):
+    """Rows as `_describe` makes them, of sets of token numbers."""
+    cut = lambda hashes, rate: hashes[hashes <= np.uint64(min(2**64 - 1, int(rate / len(hashes) * 2.0**64)))]
     rows = []
-    for k in range(150):
+    for k, tokens in enumerate(sets):
+        hashes = np.sort(jj.tk.mix(jj.tk.mix(np.asarray(tokens).astype(np.uint64) + np.uint64(1))))
+        n, paths, sketch = len(hashes), cut(hashes, jj.RUNS), cut(hashes, jj.SKETCH)
+        spare = [max(0, len(x) - jj.kept_paths(n, m)) for x, m in ((paths, jj.RUNS), (sketch, jj.SKETCH))]
+        rows.append((k, n, paths.view(np.int64).tolist(), *spare, (sketch >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+    return rows
+
+
+def passages(pairs, seed=4):
+    """Pairs at 0.82 all of whose tokens are passages that many sets share, and which are like nothing else."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for _ in range(pairs):
         chosen = draw.permutation(60)[:11]
-        for i, passages in enumerate((chosen[:10], chosen[1:])):
-            tokens = (passages[:, None] * 20 + np.arange(20)).ravel().astype(np.uint64)
-            hashes = np.sort(jj.tk.mix(jj.tk.mix(tokens + np.uint64(1))))
-            paths = cut(hashes, jj.runs_for() * jj.TAU).view(np.int64).tolist()
-            sketch = (cut(hashes, jj.SKETCH) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
-            rows.append((2 * k + i, len(hashes), paths, sketch))
+        out += [(p[:, None] * 20 + np.arange(20)).ravel() for p in (chosen[:10], chosen[1:])]
+    return out
+
+
+def replaced(pairs, seed=5):
+    """Pairs at 0.8 with a third of their tokens in one passage that all share: a ninth replaced, or a quarter added."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for k in range(pairs):
+        own = 10**6 * (k + 1) + np.arange(400)
+        base = np.concatenate([np.arange(120), own[:240]])
+        if k % 2:
+            gone = draw.permutation(360)[:40]
+            out += [base, np.concatenate([np.delete(base, gone), own[300:340]])]
+        else:
+            out += [base, np.concatenate([base, own[300:390]])]
+    return out
+
+
+@pytest.mark.parametrize("make", [passages, replaced])
+@pytest.mark.parametrize("large,levels", [(1 << 18, 0), (12, 2)])
+def test_recall_in_large_buckets(spark, monkeypatch, make, large, levels):
+    """Every split included, pairs near the threshold are found at about the stated recall."""
+    for name, value in (("RANGE", 6), ("LARGE", large), ("LEVELS", levels)):
+        monkeypatch.setattr(jj, name, value)
     work = Work(spark, "test")
-    reps = work.keep(spark.createDataFrame(rows, "id long, size int, paths array<long>, sketch array<int>"))
+    reps = work.keep(spark.createDataFrame(described(make(150)), "id long, size int, paths array<long>, spare int, sketch_spare int, sketch array<int>"))
     roots = {r.id: r.root for r in jj._candidates(reps, work).collect()}
     missed = [k for k in range(150) if roots.get(2 * k, -1) != roots.get(2 * k + 1, -2)]
-    assert not missed, missed
+    assert len(missed) <= 1, missed
+
 
+@pytest.mark.parametrize("samples", [jj.RUNS, jj.SKETCH])
+def test_kept_paths_hold_the_recall(samples):
+    """By drawing: pairs at the threshold, one replaced and one extended, meet by a kept path."""
+    draw = np.random.default_rng(1)
+    for size in (10, 25, 33, 60, 200, 2000):
+        gone = int(size / 9 + 1e-9)
+        for left, right, both in ((size, size, size - gone), (size, int(size / 0.8 + 1e-9), size)):
+            rate = [min(1.0, samples / n) for n in (left, right)]
+            for n, own in ((left, rate[0]), (right, rate[1])):
+                # Sampled tokens of this side that the pair does not share.
+                lone = draw.binomial(n - both, own, 40_000) + draw.binomial(both, max(0.0, own - min(rate)), 40_000)
+                assert (lone >= jj.kept_paths(n, samples)).mean() <= 1e-4, (size, n)
+    assert jj.kept_paths(5) == 2 and jj.kept_paths(1) == 1 and jj.kept_paths(20) == 5
 
-def test_kept_paths_hold_the_recall():
-    mean, term, tail = jj.runs_for() * jj.TAU * (1 - jj.THRESHOLD), 1.0, 0.0
-    for n in range(1, 200):
-        term *= mean / n
-        tail += term if n >= jj.kept_paths() else 0
-    assert tail * np.exp(-mean) + np.exp(-jj.runs_for() * jj.TAU * jj.THRESHOLD) <= 1 - jj.RECALL
+
+def test_overlaps_match_sets():
+    draw = np.random.default_rng(9)
+    sets = [np.unique(draw.integers(0, 400, int(draw.integers(1, 90)))).astype(np.uint64) for _ in range(70)]
+    for left, right in ((np.arange(70), np.arange(70)), (np.arange(30), np.arange(30, 70))):
+        for own, both in jj.overlap_tiles(sets, left, right, rows=16, width=64):
+            for i, row in zip(own, both, strict=True):
+                assert all(n == len(np.intersect1d(sets[i], sets[j])) for j, n in zip(right, row, strict=True) if i != j)
 
 
 def test_odd_rows(spark):
@@ -143,6 +197,3 @@ def test_components(spark, monkeypatch, one_task):
     got = {r.id: r.root for r in components(edges, work).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 105: 100, 102: 100, 200: 200, 201: 200}
 
-
-def test_runs_reach_the_recall():
-    assert 1 - np.exp(-jj.runs_for() * jj.TAU * jj.THRESHOLD) >= jj.RECALL
