@@ -11,71 +11,84 @@ window is left if its terms' largest impacts stay below the threshold; of the ot
 block maxima reach the threshold have their postings scored. All segments at or above it are retrieved.
 Bounds are sums over every term, so nothing at or above the threshold is missed.
 
-Check. A retrieved segment counts if enough of its question (all but the last sentence) and of its
-answer (the last sentence, or the `answer` column) appear in the passage as runs of five words.
+Check. Items are judged whole. Over all windows that retrieve any segment of an item, enough of the item's
+question (all but the last sentence) and enough of its answer (the `answer` column, or the last sentence) must
+appear as runs of five words. Where the answer is only guessed to be the last sentence and that has fewer than
+RUN runs, too few to judge, most of the whole item (CLOSE) counts as well.
 
-The index is broadcast in shards of at most MAX_SHARD characters of test items; a larger benchmark takes
-several passes over the documents, all with the statistics of the whole benchmark.
+Benchmarks beyond MAX_SHARD characters are dealt into shards by the items' hash. Each shard's index is built
+with the statistics of the whole benchmark, which are counted in Spark, broadcast, used in a pass over the
+documents of its own, and destroyed; driver and workers hold one shard at a time. Items found by several
+passes are joined by document.
 
 Defined results: null text counts as empty; an item without words matches nothing; documents without
-words are clean; equal rows have equal results; an empty benchmark leaves every document clean.
+words are clean; equal rows have equal results; an empty benchmark leaves every document clean and an empty
+table gives an empty result; items without an id are looked for like others and reported as null; ids of
+items may be of any type; columns besides the named ones are ignored, or kept by `clean`.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType
 
 from hyperloom.llm import textkernel as tk
-from hyperloom.llm.shared import small_batches, table, text_column
+from hyperloom.llm.shared import Work, small_batches, table, text_column
 
 K1, B = 1.2, 0.75
 THETA = 0.5
 SEGMENT = 64
 BLOCK = 16
 RUN = 5
-QUESTION, ANSWER, WHOLE = 0.6, 0.6, 0.6
+QUESTION, ANSWER, CLOSE = 0.6, 0.6, 0.8
 MAX_SHARD = 32_000_000
 _BITS = 20
 
 
 def words_of(text: str) -> np.ndarray:
-    data, offsets = tk.arrow_bytes(pa.array([text], pa.large_string()))
-    return tk.word_hashes(tk.lowered(data), offsets)[0]
+    return np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in tk.word_rows(pa.array([text], pa.large_string())))])
 
 
 def question_and_answer(text: str, answer: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of an item's question and answer; without an answer column the last sentence is it."""
     if answer:
         return words_of(text), words_of(answer)
-    parts = [x for x in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if len(words_of(x))]
+    parts = [x for x in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n+", text.strip()) if len(words_of(x))]
     if len(parts) < 2:
         return words_of(text), np.zeros(0, np.uint64)
     return words_of(" ".join(parts[:-1])), words_of(parts[-1])
 
 
-@dataclass
-class Segment:
-    item_id: int
-    words: np.ndarray
-    runs: list = field(default_factory=list)  # (share needed, width, runs) of question, answer and whole
+def runs_of(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The width of a part's runs, and the runs."""
+    return min(RUN, len(words)), np.unique(tk.shingles(words, RUN))
 
-    @classmethod
-    def cut(cls, item_id: int, question: np.ndarray, answer: np.ndarray):
-        words, n = np.concatenate([question, answer]), len(question)
-        pieces = -(-len(words) // SEGMENT)
-        for k in range(pieces):
-            lo, hi = k * len(words) // pieces, (k + 1) * len(words) // pieces
-            made = cls(item_id, words[lo:hi])
-            for share, part in ((QUESTION, words[lo : min(hi, n)]), (ANSWER, words[max(lo, n) : hi]), (WHOLE, words[lo:hi])):
-                if len(part):
-                    made.runs.append((share, min(RUN, len(part)), np.unique(tk.shingles(part, RUN))))
-            yield made
+
+class Item:
+    """An item's runs: of question, answer and both."""
+
+    def __init__(self, item_id, text: str, answer: str | None = None):
+        question, found = question_and_answer(text, answer)
+        self.item_id, self.words = item_id, np.concatenate([question, found])
+        self.parts = [(need, *runs_of(x)) for need, x in ((QUESTION, question), (ANSWER, found)) if len(x)]
+        self.whole = runs_of(self.words)
+        self.short = not answer and 0 < len(found) < 2 * RUN - 1  # a guessed answer of fewer than RUN runs
+
+    def found(self, runs) -> tuple[bool, float]:
+        """Whether the item is in a text, and how much of it; runs(width) are those of the text's windows."""
+        share = lambda width, own: float(np.isin(own, runs(width)).mean())
+        whole = share(*self.whole)
+        return all(share(width, own) >= need for need, width, own in self.parts) or (self.short and whole >= CLOSE), whole
+
+    def segments(self) -> list[np.ndarray]:
+        pieces = -(-len(self.words) // SEGMENT)
+        return [self.words[k * len(self.words) // pieces : (k + 1) * len(self.words) // pieces] for k in range(pieces)]
 
 
 def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +104,16 @@ def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.
 class Index:
     """BM25 impacts of segments by term, with block maxima."""
 
-    def __init__(self, segments: list[Segment], n: int, mean: float, terms: np.ndarray, df: np.ndarray):
-        self.segments, self.longest = segments, max((len(s.words) for s in segments), default=1)
+    def __init__(self, items: list[Item], n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        """n, mean: number and mean length of the benchmark's segments; df: in how many of them each term is."""
+        self.items = items
+        segments = [(k, x) for k, item in enumerate(items) for x in item.segments()]
+        self.owner, self.longest = np.array([k for k, _ in segments]), max(len(x) for _, x in segments)
         term, where, impact = [], [], []
-        for i, s in enumerate(segments):
-            t, tf = np.unique(s.words, return_counts=True)
+        for i, (_, words) in enumerate(segments):
+            t, tf = np.unique(words, return_counts=True)
             d = df[np.searchsorted(terms, t)]
-            x = np.log1p((n - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s.words) / mean))
+            x = np.log1p((n - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             term.append(t)
             where.append(np.full(len(t), i))
             impact.append(x / x.sum())
@@ -142,12 +158,12 @@ class Index:
             lists = lists[wanted[self.where[lists] // BLOCK]]
         else:
             lists = lists[np.isin(self.where[lists] // BLOCK, good)]
-        hits, score = _sums(self.where[lists], self.impact[lists], len(self.segments))
+        hits, score = _sums(self.where[lists], self.impact[lists], len(self.owner))
         kept = score >= theta - 1e-9
         return hits[kept], score[kept]
 
     def documents(self, words: np.ndarray, rows: np.ndarray, theta: float = THETA):
-        """(row, segment, score, overlaps) of checked matches in rows of words."""
+        """(row, item, best score, share of it) of the items found in rows of words."""
         at, terms = self.lookup(words)
         if not len(at):
             return
@@ -159,6 +175,8 @@ class Index:
         bound = np.bincount(cell, self.most[terms], base[-1])
         after = np.append(bound[1:], 0.0)
         after[base[1:][n > 0] - 1] = 0.0  # the next cell is another document's
+        met: dict[tuple[int, int], list] = {}  # by row and item: best score and windows
+        windows: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(bound + after >= theta - 1e-9).tolist():
             r = int(np.searchsorted(base, k, "right")) - 1
             to = min(k + 2, int(base[r + 1]))
@@ -166,80 +184,155 @@ class Index:
             hits, scores = self.search(np.unique(terms[i:j]), theta)
             if len(hits):
                 lo = rows[r] + (k - base[r]) * length
-                window = words[lo : min(lo + 2 * length, rows[r + 1])]
-                made: dict[int, np.ndarray] = {}
-                for h, score in zip(hits.tolist(), scores.tolist(), strict=True):
-                    shares = []
-                    for need, width, runs in self.segments[h].runs:
-                        if width not in made:
-                            made[width] = tk.shingles(window, width)
-                        shares.append((np.isin(runs, made[width]).mean(), need))
-                    if all(x >= need for x, need in shares):
-                        yield r, h, score, shares[-1][0]
-
-
-def shards(items: DataFrame) -> list[Index]:
-    """The index of a benchmark (item_id, text and, if there, answer), in parts of bounded size."""
-    columns = ["item_id", "text"] + [c for c in ("answer",) if c in items.columns]
-    groups, size = [[]], 0
-    for x in items.select(*columns).orderBy("item_id", "text").toLocalIterator():
-        if x.item_id is None or not x.text:
+                windows[k] = words[lo : min(lo + 2 * length, rows[r + 1])]
+                for h, score in zip(self.owner[hits].tolist(), scores.tolist(), strict=True):
+                    seen = met.setdefault((r, h), [0.0, []])
+                    seen[0] = max(seen[0], score)
+                    if seen[1][-1:] != [k]:
+                        seen[1].append(k)
+        made: dict[tuple[int, int], np.ndarray] = {}
+
+        def runs(width: int, k: int) -> np.ndarray:
+            if (k, width) not in made:
+                made[k, width] = tk.shingles(windows[k], width)
+            return made[k, width]
+
+        for (r, h), (score, own) in met.items():
+            found, share = self.items[h].found(lambda width, own=own: np.concatenate([runs(width, k) for k in own]))
+            if found:
+                yield r, h, score, share
+
+
+SEGMENTS = "segment long, words array<long>"
+
+
+def _segments(batches):
+    """Items (text, answer) to the words of their segments, numbered within a batch."""
+    for batch in batches:
+        found = [x for text, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in Item(None, text, answer).segments()]
+        yield pa.record_batch([pa.array(range(len(found)), pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["segment", "words"])
+
+
+def shards(items: DataFrame):
+    """The indexes of a benchmark (item_id, text and, if there, answer), each of about MAX_SHARD characters, one at a time."""
+    spark = items.sparkSession
+    answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
+    items = items.select("item_id", F.col("text"), answer.alias("answer")).where("length(text) > 0")
+    cut = items.select("text", "answer").mapInArrow(_segments, SEGMENTS)
+    total = items.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))).alias("chars")).first().chars or 0
+    parts = max(1, -(-total // MAX_SHARD))
+    if parts > 1:
+        cut = Work(spark, "benchmark").keep(cut)
+    counts = cut.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    if not counts.n:
+        return
+    df = cut.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("text", "answer"), F.lit(parts)) == part)
+        rows = [Item(x.item_id, x.text, x.answer) for x in own.orderBy("text", "answer", F.col("item_id").cast("string")).toLocalIterator()]
+        rows = [x for x in rows if len(x.words)]
+        if not rows:
             continue
-        if size > MAX_SHARD:
-            groups.append([])
-            size = 0
-        size += len(x.text)
-        groups[-1] += Segment.cut(x.item_id, *question_and_answer(x.text, x.answer if len(columns) > 2 else None))
-    every = [s for g in groups for s in g]
-    if not every:
-        return []
-    terms, df = np.unique(np.concatenate([np.unique(s.words) for s in every]), return_counts=True)
-    mean = sum(len(s.words) for s in every) / len(every)
-    return [Index(g, len(every), mean, terms, df) for g in groups if g]
-
-
-def _matches(parts: list, column: pa.Array, theta: float) -> tuple[list[set], list[float], list[float]]:
-    """Items found in each text, the best score and the best overlap among them."""
-    data, offsets = tk.arrow_bytes(column)
-    n = len(offsets) - 1
-    found, score, overlap = [set() for _ in range(n)], [0.0] * n, [0.0] * n
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tk.BLOCK, "right")) - 1)
-        words, rows = tk.word_hashes(tk.lowered(data[offsets[at] : offsets[to]]), offsets[at : to + 1] - offsets[at])
-        for part in parts:
-            for r, h, s, o in part.value.documents(words, rows, theta):
-                found[at + r].add(part.value.segments[h].item_id)
-                score[at + r], overlap[at + r] = max(score[at + r], s), max(overlap[at + r], o)
-        at = to
-    return found, score, overlap
+        terms = np.unique(np.concatenate([x.words for x in rows]))
+        if parts > 1:  # the counts of this shard's terms alone
+            known = df.join(spark.createDataFrame(pa.table({"term": terms.view(np.int64)})), "term")
+        else:
+            known = df
+        known = known.toArrow().to_pandas()
+        at = known.term.to_numpy().view(np.uint64)
+        order = np.argsort(at)
+        yield Index(rows, counts.n, counts["mean"], at[order], known.df.to_numpy()[order])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:
-    """One row per document: doc_id, contaminated, item_ids, best_score, best_overlap."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = [spark.sparkContext.broadcast(x) for x in shards(items)]
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(text).alias("text"))
+def _matches(index: Index, column: pa.Array, theta: float) -> tuple[list[list[int]], list[float], list[float]]:
+    """Items found in each text, by number, the best score and the best share among them."""
+    n = len(column)
+    found, score, share = [[] for _ in range(n)], [0.0] * n, [0.0] * n
+    for at, _, words, rows in tk.word_rows(column):
+        for r, h, s, o in index.documents(words, rows, theta):
+            found[at + r].append(h)
+            score[at + r], share[at + r] = max(score[at + r], s), max(share[at + r], o)
+    return found, score, share
+
+
+def _pass(docs: DataFrame, index, ids: DataType, theta: float) -> DataFrame:
+    """One row per document (doc_id, key, text): doc_id, key, item_ids, best_score, best_overlap."""
+    type_ = to_arrow_type(ArrayType(ids))
 
     def run(batches):
         for batch in batches:
-            found, score, overlap = _matches(parts, batch.column(1), theta)
-            yield pa.record_batch([batch.column(0), pa.array([bool(x) for x in found], pa.bool_()), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(score, pa.float64()), pa.array(overlap, pa.float64())], ["doc_id", "contaminated", "item_ids", "best_score", "best_overlap"])
+            items = index.value.items
+            found, score, share = _matches(index.value, batch.column(2), theta)
+            names = [sorted({items[h].item_id for h in x}, key=lambda v: (v is not None, v)) for x in found]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, type_), pa.array(score, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "key", "item_ids", "best_score", "best_overlap"])
+
+    return docs.mapInArrow(run, f"doc_id long, key binary, item_ids array<{ids.simpleString()}>, best_score double, best_overlap double")
 
-    return docs.mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, best_score double, best_overlap double")
+
+def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    value = text_column(text)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(value.cast("binary"))).alias("key"), value.alias("text"))
+
+
+def _passes(docs: DataFrame, items: DataFrame, theta: float, work: Work) -> DataFrame | None:
+    """The found items of the documents that have any: (doc_id, key, item_ids, best_score, best_overlap), one row per different document; a pass over the documents for each shard."""
+    spark, ids, every = docs.sparkSession, items.schema["item_id"].dataType, None
+    for index in shards(items):
+        shared = spark.sparkContext.broadcast(index)
+        found = work.keep(_pass(docs, shared, ids, theta).where("best_score > 0").dropDuplicates(["doc_id", "key"]))
+        every = found if every is None else every.union(found)
+        shared.destroy()
+        del index
+    if every is None:
+        return None
+    return work.settle(every.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap")))
+
+
+def _one_shard(items: DataFrame) -> Index | None | bool:
+    """The index of a benchmark of one shard, None of an empty one; False of a larger one."""
+    first = items.agg(F.sum(F.length("text")).alias("chars")).first().chars or 0
+    return False if first > MAX_SHARD else next(shards(items), None)
+
+
+OUT = ("doc_id", "contaminated", "item_ids", "best_score", "best_overlap")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:
+    """One row per document: doc_id, contaminated, item_ids, best_score, best_overlap."""
+    spark, ids = docs.sparkSession, items.schema["item_id"].dataType
+    small_batches(spark)
+    keyed = _keyed(docs, id_column, text)
+    found = None
+    if index := _one_shard(items):  # one pass, and nothing to join
+        found = _pass(keyed, spark.sparkContext.broadcast(index), ids, theta)
+    elif index is False:
+        found = _passes(keyed, items, theta, Work(spark, "leaks"))
+        found = None if found is None else keyed.select("doc_id", "key").alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left").select("d.doc_id", "item_ids", "best_score", "best_overlap")
+    if found is None:
+        found = keyed.select("doc_id", F.lit(None).cast(f"array<{ids.simpleString()}>").alias("item_ids"), F.lit(0.0).alias("best_score"), F.lit(0.0).alias("best_overlap"))
+    none = F.array().cast(f"array<{ids.simpleString()}>")
+    found = found.select("doc_id", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"), F.coalesce("best_overlap", F.lit(0.0)).alias("best_overlap"))
+    return found.withColumn("contaminated", F.size("item_ids") > 0).select(*OUT)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", theta: float = THETA) -> DataFrame:
     """The rows, with all their columns, in which no item is found."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = [spark.sparkContext.broadcast(x) for x in shards(items)]
+    if (index := _one_shard(items)) is None:
+        return docs
+    if index is False:
+        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.unhex(F.md5(text_column(text).cast("binary"))).alias("key"), text_column(text).alias("text"))
+        found = _passes(texts, items, theta, Work(spark, "leaks"))
+        # The rows travel whole in one column, so no name of theirs can clash.
+        packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(text_column(text).cast("binary"))).alias("key"))
+        return packed.join(found.select("key"), "key", "left_anti").select("row.*")
+    shared = spark.sparkContext.broadcast(index)
     place = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([not x for x in _matches(parts, batch.column(place), theta)[0]], pa.bool_()))
+            yield batch.filter(pa.array([not x for x in _matches(shared.value, batch.column(place), theta)[0]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -5,14 +5,16 @@ the same kinds that the rules' forms miss (a telephone number without its plus s
 dots, an address with letters beyond ASCII). It is trained in numpy on generated text whose spans are
 labelled by construction, among look-alikes (keys, dates, prices, versions) that are labelled as none.
 
-A text is read in windows of WINDOW characters, STRIDE on. A span of these kinds holds a digit, an at sign
-or one written out, (at) or [at]; windows without any of them are not run, and since spans without any are
-dropped, this changes nothing.
+A text is read in windows of WINDOW characters, STRIDE on. A span that counts holds a mark: an ASCII digit, an
+at sign or one written out, (at) or [at] (`_plausible` asks for it). Every window that holds a mark is run, so
+also any that could decide a span that counts; the others are left. A test holds this against running all.
 Every window is decoded by Viterbi; a span counts in the window whose middle part holds the span's middle,
 so each is decided once whatever windows see it. Then all spans of a text are reconciled: rule spans stay,
 model spans that touch one go, and of model spans that touch each other the longer stays.
 
-Defined results: null text counts as empty; equal rows have equal results; offsets are code points.
+Defined results: null text counts as empty (`redact` leaves it null); equal rows have equal results; offsets are
+code points; an empty table gives an empty result; columns besides id and text, whatever their names, are
+ignored by `scan` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -317,8 +319,8 @@ def _plausible(kind: int, piece: str) -> bool:
     return not re.search(r"[^\W\d_]", piece) and (kind == 2 or bool(re.search(r"[\s().-]", piece)))
 
 
-def model_spans(model: Model, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of the model's spans in each text, before reconciliation."""
+def model_spans(model: Model, texts: list[str], batch: int = 256, every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of the model's spans in each text, before reconciliation; every: from windows without a mark as well."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     waiting: list[tuple[int, int, np.ndarray]] = []
 
@@ -346,7 +348,7 @@ def model_spans(model: Model, texts: list[str], batch: int = 256) -> list[list[t
         code = symbols(text)
         marks = np.append(np.flatnonzero((code == 29) | (code == 31)), [m.start() for m in _AT.finditer(text)]).astype(np.int64)
         last = max(0, -(-(len(code) - WINDOW) // STRIDE))
-        for w in np.unique(np.clip(np.concatenate([marks // STRIDE, marks // STRIDE - 1]), 0, last)).tolist():
+        for w in range(last + 1) if every else np.unique(np.clip(np.concatenate([marks // STRIDE, marks // STRIDE - 1]), 0, last)).tolist():
             x = np.zeros(WINDOW, np.int64)
             piece = code[w * STRIDE : w * STRIDE + WINDOW]
             x[: len(piece)] = piece
@@ -370,11 +372,13 @@ def reconcile(text: str, base: list[tuple[int, int, int]], added: list[tuple[int
             start, end = m.span()
         if start < end and _plausible(kind, text[start:end]):
             trimmed.append((start, kind, end))
-    taken = sorted((s, e) for s, _, e in base)
+    taken = bytearray(len(text))  # by place, so that the work is that of the spans' lengths
+    for start, _, end in base:
+        taken[start:end] = b"\1" * (end - start)
     for start, kind, end in sorted(set(trimmed), key=lambda x: (x[0] - x[2], x)):
-        if all(e <= start or end <= s for s, e in taken):
+        if taken.find(1, start, end) < 0:
             kept.append((start, kind, end))
-            taken.append((start, end))
+            taken[start:end] = b"\1" * (end - start)
     return sorted([*base, *kept])
 
 

@@ -2,14 +2,20 @@
 
 Base rules give assignments, access keys and hexadecimal runs. Further spans come from two character
 Markov models, of random strings and of ordinary identifiers: the log-likelihood ratio of a candidate
-token under them, summed over its character pairs. Both are counted from labelled samples: generated
-random strings and identifiers, and words of a bounded sample of the documents as further identifiers.
-The ratios of all character pairs are a fixed table of len(ALPHABET)**2 numbers.
+token under them, summed over its character pairs. Both are counted from labelled samples, generated random
+strings and identifiers; half of the ordinary model is the words of all documents. The ratios of all
+character pairs are a fixed table of len(ALPHABET)**2 numbers.
 
-Spans are in code points. A pattern's match positions come from the lengths of what lies between its
-matches and of the matches themselves, so the text is never walked by rows.
+Candidates are runs of ALPHABET in what the base spans leave of a text, so a base span cuts a run and what
+is left of it on either side is scored by itself.
 
-Defined results: null text counts as empty and has no spans; equal rows have equal results.
+Spans are in code points. A long text is cut into parts of about PART characters, each after a character
+that no pattern takes, so no match crosses a cut and the work grows with the text, however many matches it
+has. Within a part, positions come from the lengths of matches and of what lies between them.
+
+Defined results: null text counts as empty and has no spans; equal rows have equal results; an empty table
+gives an empty result (and a model from the generated samples alone); columns besides id and text,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from hyperloom.llm.shared import table, text_column
 
 # Fixed patterns of the base rules.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?=[PpSsTtAa])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Kinds in the order of their listing; `random` are the spans that the models add.
@@ -30,11 +36,14 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGNED = 12
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
+#: Words that are counted for the ordinary model.
+WORD = r"[A-Za-z][a-z]{3,}"
 #: Least log-likelihood ratio, in nats: in all, and per character pair.
 LEAST, LEAST_EACH = 10.0, 0.35
-#: Documents whose words are identifiers for training, at most.
-SAMPLE_DOCS = 300
+#: Characters of a part of a long text, before the next character that ends it: one that no pattern takes.
+PART = 1 << 14
+_PARTS = r"""(?s).{%d}[\x20A-Za-z0-9+/_.=:"'-]*+[^\x20A-Za-z0-9+/_.=:"'-]|.+""" % PART
 GENERATED = 2000
 WORDS = ("get set user name value index count file path list map node state error config server client "
          "request response handler manager service session buffer thread query result table column row "
@@ -44,57 +53,76 @@ WORDS = ("get set user name value index count file path list map node state erro
          "utilisateur compte niveau donnees systeme datei pfad wert benutzer konto liste stufe daten").split()
 
 
+SPAN = "struct<start:int,end:int,token:string>"
+
+
 def _matches(text, pattern: str, keep=None):
-    """Array of (start, end) of a pattern's matches; keep: of (all, group 2) of a match, whether it stays."""
-    between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Array of (start, end, token) of a pattern's matches; keep: of group 2 of a match, whether it stays."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else whole
-    rows = F.arrays_zip(between.alias("gap"), whole.alias("whole"), inner.alias("inner"))
-    rows = F.filter(rows, lambda x: x["whole"].isNotNull())
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("found"))
+    rows = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), inner.alias("inner")), lambda x: x["whole"].isNotNull())
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
     def step(done, x):
-        start = (done["at"] + F.length(x["gap"])).cast("long")
-        end = (start + F.length(x["whole"])).cast("long")
-        more = F.array(F.struct(start.alias("start"), end.alias("end")))
-        found = F.concat(done["found"], more)
+        start = done["at"] + F.length(x["gap"])
+        end = start + F.length(x["whole"])
+        found = F.concat(done["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("token"))))
         return F.struct(end.alias("at"), (F.when(keep(x["inner"]), found).otherwise(done["found"]) if keep else found).alias("found"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(rows, empty, step, lambda x: x["found"])).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return F.when(F.size(whole) > 0, F.aggregate(rows, empty, step, lambda x: x["found"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _blanked(text, spans):
+    """The text with every span's characters replaced by spaces, in place."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
+
+    def step(done, x):
+        start, end = F.greatest(done["at"], x["start"]), F.greatest(done["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(done["made"], F.substr(text, done["at"] + 1, start - done["at"]), F.repeat(F.lit(" "), end - start)).alias("made"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, begin, step, lambda x: F.concat(x["made"], F.substr(text, x["at"] + 1))))
 
 
 def samples(spark: SparkSession, docs: DataFrame | None = None) -> DataFrame:
-    """Labelled samples: (text, random)."""
+    """Labelled samples: (text, kind, n), kind one of random, identifier and word."""
     ids = spark.range(GENERATED)
     seed = F.concat(F.lit("sample-"), F.col("id").cast("string"))
     draw = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n)).cast("int")
     length = 20 + draw("length", 24)
     base64 = F.translate(F.substring(F.base64(F.unhex(F.sha2(seed, 256))), F.lit(1), length), "=", "")
     forms = [base64, F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "x"), F.lit(1), length), F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", "7")), F.translate(base64, "+/", "-_")]
-    random = ids.select(F.explode(F.array(*forms)).alias("text"), F.lit(True).alias("random"))
+    random = ids.select(F.explode(F.array(*forms)).alias("text"))
     words = F.lit(list(WORDS))
     a, b, c = (F.element_at(words, draw(s, len(WORDS)) + 1) for s in ("a", "b", "c"))
     ordinary = [F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, c), F.upper(F.concat_ws("_", a, b)), F.concat(a, F.lit("_"), b, draw("n", 100).cast("string")), F.concat_ws("/", a, b, c), F.concat_ws("-", (1990 + draw("y", 60)).cast("string"), F.lpad((1 + draw("m", 12)).cast("string"), 2, "0"), F.lpad((1 + draw("d", 28)).cast("string"), 2, "0"))]
-    found = random.union(ids.select(F.explode(F.array(*ordinary)), F.lit(False)))
+    found = random.select("text", F.lit("random").alias("kind")).union(ids.select(F.explode(F.array(*ordinary)), F.lit("identifier")))
+    found = found.withColumn("n", F.lit(1).cast("long"))
     if docs is not None:
-        few = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-        text = docs.join(F.broadcast(few), "doc_id").select(text_column().alias("text"))  # SAMPLE_DOCS ids
-        tokens = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][a-z]{3,}"), F.lit(0))).alias("text"))
-        found = found.union(tokens.select("text", F.lit(False)))
+        # Words of all documents, counted before and after the shuffle.
+        words = docs.select(F.explode(F.regexp_extract_all(text_column(), F.lit(WORD), F.lit(0))).alias("text"))
+        found = found.union(words.groupBy("text").agg(F.count("*").alias("n")).select("text", F.lit("word"), "n"))
     return found
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratios (random over ordinary) of character pairs, row by row of ALPHABET."""
+    """Log-likelihood ratios (random over ordinary) of character pairs, row by row of ALPHABET, from samples (text, kind, n).
+
+    The ordinary model is half identifiers, half words, whatever their numbers, so it doesn't depend on how
+    many documents there are; a character that no word has follows identifiers alone.
+    """
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
-    pairs = labelled.where(F.length("text") > 1).select("random", "text", at.alias("at")).select("random", F.expr("substr(text, at, 2)").alias("pair"))
-    # At most 2 * len(ALPHABET)**2 rows.
-    counted = pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}\z")).groupBy("random", "pair").count().collect()
+    pairs = labelled.where(F.length("text") > 1).select("kind", "text", "n", at.alias("at")).select("kind", "n", F.expr("substr(text, at, 2)").alias("pair"))
+    # At most 3 * len(ALPHABET)**2 rows.
+    counted = pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}\z")).groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect()
     n = len(ALPHABET)
-    counts = {True: [[0.5] * n for _ in range(n)], False: [[0.5] * n for _ in range(n)]}
+    counts = {k: [[0.5] * n for _ in range(n)] for k in ("random", "identifier", "word")}
     for x in counted:
-        counts[x["random"]][ALPHABET.index(x["pair"][0])][ALPHABET.index(x["pair"][1])] += x["count"]
+        counts[x.kind][ALPHABET.index(x.pair[0])][ALPHABET.index(x.pair[1])] += x.n
     share = {k: [[v / sum(row) for v in row] for row in rows] for k, rows in counts.items()}
-    return [math.log(share[True][i][j] / share[False][i][j]) for i in range(n) for j in range(n)]
+    half = [0.5 if sum(row) > 0.5 * n else 0.0 for row in counts["word"]]
+    ordinary = [[half[i] * share["word"][i][j] + (1 - half[i]) * share["identifier"][i][j] for j in range(n)] for i in range(n)]
+    return [math.log(share["random"][i][j] / ordinary[i][j]) for i in range(n) for j in range(n)]
 
 
 def ratio(token, table: list[float]):
@@ -105,8 +133,9 @@ def ratio(token, table: list[float]):
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def _tagged(spans, kind: str):
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
+def _tagged(spans, kind: str, at):
+    """Spans of a part that starts at `at`, as (start, kind, end)."""
+    return F.transform(spans, lambda x: F.struct((x["start"] + at).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x["end"] + at).alias("end")))
 
 
 def _joined(spans):
@@ -117,20 +146,20 @@ def _joined(spans):
 def scan(docs: DataFrame, table: list[float], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of base spans, their digest, and all spans."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    found = docs.select(
-        "doc_id", "text",
-        _matches(F.col("text"), ASSIGN, lambda inner: F.length(inner) >= ASSIGNED).alias("assign"),
-        _matches(F.col("text"), ACCESS).alias("access"), _matches(F.col("text"), HEX).alias("hex"),
-        _matches(F.col("text"), CANDIDATE).alias("candidate"),
-    )
-    base = F.concat(*(_tagged(F.col(k), k) for k in KINDS[:3]))
-    token = lambda x: F.col("text").substr((x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-    found = found.withColumn("base", base)
-    free = F.filter("candidate", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    scored = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), ratio(token(x), table).alias("score")))
-    random = F.filter(scored, lambda x: (x["score"] >= LEAST) & (x["score"] >= LEAST_EACH * (x["end"] - x["start"] - 1)))
-    count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", _tagged(random, "random"))).alias("spans"))
+    parts = F.when(F.length("text") <= PART, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(_PARTS), F.lit(0)))
+    docs = docs.select("doc_id", parts.alias("part"))
+    rules = {"assign": (ASSIGN, lambda inner: F.length(inner) >= ASSIGNED), "access": (ACCESS, None), "hex": (HEX, None)}
+    of = lambda rule: F.transform("part", lambda x: _matches(x, *rule))
+    found = docs.select("doc_id", "part", *(of(rule).alias(k) for k, rule in rules.items()))
+    # Where the parts start.
+    starts = F.aggregate("part", F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.length(x))))
+    rest = F.transform(F.arrays_zip("part", *rules), lambda x: _matches(_blanked(x["part"], F.concat(*(x[k] for k in rules))), CANDIDATE))
+    found = found.select("doc_id", *rules, rest.alias("rest"), starts.alias("starts"))
+    is_random = lambda x: (ratio(x["token"], table) >= F.greatest(F.lit(LEAST), LEAST_EACH * (x["end"] - x["start"] - 1)))
+    found = found.withColumn("random", F.transform("rest", lambda xs: F.filter(xs, is_random)))
+    spans = lambda k: F.flatten(F.zip_with(k, F.slice("starts", F.lit(1), F.size(k)), lambda xs, at: _tagged(xs, k, at)))
+    found = found.select("doc_id", *(F.aggregate(k, F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias(f"n_{k}") for k in rules), F.concat(*(spans(k) for k in rules)).alias("base"), spans("random").alias("random"))
+    return found.select("doc_id", *(f"n_{k}" for k in rules), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "random")).alias("spans"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,16 @@ pages, blocked with the number of their blocked ones. Trust flows along links (p
 from the trusted seeds); distrust flows against them (a page that links to a bad host is suspect), from
 the blocked seeds. A host is blocked if distrust reaches it and is at least SHARE of both together; a
 host that neither reaches is allowed. Only the ratio counts: scores are shares of the whole table's seeds,
-so they shrink as it grows. The SQL still asks for distrust above LEAST, which differs only for hosts that
-distrust below it reaches over links.
+so they shrink as it grows.
 
-The graph is the host pairs of links that name a host, with a scheme or without (the SQL takes those with
-one only), counted before they are shuffled; scores are a table that
-each round joins with the edges and is written to the shared folder, so lineage stays short. Scores of
-nodes without outgoing links return to the seeds.
+The graph is the host pairs of links that name a host, with a scheme or without, counted before they are
+shuffled; scores are a table that each round joins with the edges and is written to the shared folder, so
+lineage stays short; the table of the round before is deleted. Scores of nodes without outgoing links
+return to the seeds.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is allowed;
-null html has no links; equal rows have equal results; an empty table gives an empty result.
+null html has no links; equal rows have equal results, rows without an id or of one id are judged each by
+itself; an empty table gives an empty result; columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +36,8 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 20
 SHARE = 0.6
-#: In the SQL only.
-LEAST = 1e-9
-#: Links with a scheme, as the SQL finds them, and those that take the page's own as well.
-_LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
-_ANY_LINK = _LINK.replace("[a-z][a-z0-9+.-]*://", "(?:[a-z][a-z0-9+.-]*:)?//")
+#: Links that name a host, with a scheme or with the page's own.
+_LINK = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +64,7 @@ def rule_of(host, path, rules=RULES):
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, weight): links that name a host, between different hosts, of pages (host, html)."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_ANY_LINK), F.lit(1))
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))
     targets = F.array_distinct(F.transform(links, lambda x: F.translate(x, _UPPER, _LOWER)))
     pairs = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(targets).alias("target"))
     return pairs.where("source <> target and target <> ''").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
@@ -85,6 +82,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, work: Work, damping: float = D
     nodes = work.keep(starts.select("host", "trusted", "blocked").union(edges.select(F.explode(F.array("source", "target")), F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.sum("trusted").alias("trusted"), F.sum("blocked").alias("blocked")))
     score = nodes.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     mass = nodes.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
+    before = None
     for _ in range(rounds if not flows.isEmpty() else 0):
         moved = flows.join(score, flows.source == score.host).select("target", (F.col("share") * F.when(F.col("kind") == "trust", F.col("trust")).otherwise(0.0)).alias("t"), (F.col("share") * F.when(F.col("kind") == "distrust", F.col("distrust")).otherwise(0.0)).alias("d")).groupBy("target").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         got = work.keep(nodes.join(moved, nodes.host == moved.target, "left").select("host", "trusted", "blocked", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d")))
@@ -92,12 +90,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, work: Work, damping: float = D
         # What flowed nowhere goes back to the seeds, in proportion.
         back = lambda all_, kept: (1 - damping * (kept or 0.0) / all_) if all_ else 0.0
         score = got.select("host", (damping * F.col("t") + back(mass.t, lost.t) * F.col("trusted")).alias("trust"), (damping * F.col("d") + back(mass.b, lost.d) * F.col("blocked")).alias("distrust"))
-        score = score.select("host", "trust", "distrust")
-    return score
+        if before is not None:
+            work.drop(before)
+        before = got
+    return work.settle(score)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
+    """One row per page: page_id, host, path, rule, verdict, trust, distrust, distrust_share (rounded)."""
     work = Work(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))
     placed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
@@ -107,15 +107,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     score = propagate(seeds.where("host <> ''"), edges, work)
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= SHARE * (F.col("trust") + F.col("distrust")))
     own = F.when(bad, "block").otherwise("allow")
+    both = F.col("trust") + F.col("distrust")
     return ruled.select("page_id", "host", "path", "rule").join(score, "host", "left").select(
         "page_id", "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", own).alias("verdict"),
-        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
+        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.when(both > 0, F.round(F.col("distrust") / both, 6)).otherwise(0.0).alias("distrust_share"),
     )
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
-    return judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"])).drop("trust", "distrust")
 
 
 QUERIES = {"op3_url_filter": op3_url_filter}
@@ -145,7 +147,7 @@ flows AS MATERIALIZED (SELECT source, target, kind, weight / sum(weight) OVER (P
 nodes AS MATERIALIZED (SELECT host, sum(trusted) AS trusted, sum(blocked) AS blocked FROM (SELECT host, trusted / u AS trusted, blocked / u AS blocked FROM seeds, unit UNION ALL SELECT unnest([source, target]), 0, 0 FROM edges) GROUP BY host),
 mass AS (SELECT coalesce(sum(trusted), 0) AS t, coalesce(sum(blocked), 0) AS d FROM nodes),
 {", ".join(rounds)}
-SELECT page_id, r.host, path, x.rule AS rule, coalesce(x.verdict, CASE WHEN d > {LEAST!r} AND d >= {SHARE} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(t, 0), 9) AS trust, round(coalesce(d, 0), 9) AS distrust
+SELECT page_id, r.host, path, x.rule AS rule, coalesce(x.verdict, CASE WHEN d > 0 AND d >= {SHARE} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN t + d > 0 THEN round(d / (t + d), 6) ELSE 0 END::DOUBLE AS distrust_share
 FROM ruled r LEFT JOIN s{ROUNDS} s ON s.host = r.host"""
 
 

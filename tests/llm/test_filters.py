@@ -1,7 +1,10 @@
 """Decontamination, URL filters, personal data and secrets against plain versions."""
 
+import gc
 import hashlib
 import re
+import time
+import weakref
 
 import numpy as np
 import pytest
@@ -41,12 +44,87 @@ def test_finds_planted_items_and_leaves_clean_texts(spark):
     assert exact <= set(found) <= set(want) and all(want[i] in found[i] for i in found)
 
 
+def plain_index(items):
+    """The index of items (id, text), and its segments."""
+    made = [dc.Item(i, t) for i, t in items]
+    segments = [x for item in made for x in item.segments()]
+    terms, df = np.unique(np.concatenate([np.unique(x) for x in segments]), return_counts=True)
+    return dc.Index(made, len(segments), float(np.mean([len(x) for x in segments])), terms, df), segments
+
+
+def plain_leaks(items, text):
+    """Items found in a text by scoring every segment against every window."""
+    index, segments = plain_index(items)
+    words, found, length = dc.words_of(text), set(), index.longest
+    for k, item in enumerate(index.items):
+        own = []
+        for lo in range(0, len(words), length):
+            window = words[lo : lo + 2 * length]
+            for i in np.flatnonzero(index.owner == k):
+                terms, tf = np.unique(segments[i], return_counts=True)
+                d = np.array([sum(t in s for s in map(set, (x.tolist() for x in segments))) for t in terms.tolist()])
+                mean, n = np.mean([len(x) for x in segments]), len(segments)
+                x = np.log1p((n - d + 0.5) / (d + 0.5)) * tf * (dc.K1 + 1) / (tf + dc.K1 * (1 - dc.B + dc.B * len(segments[i]) / mean))
+                if x[np.isin(terms, window)].sum() >= (dc.THETA - 1e-9) * x.sum():
+                    own.append(window)
+        runs = lambda part: {tuple(part[i : i + min(5, len(part))].tolist()) for i in range(max(1, len(part) - 4))}
+        have = lambda part: sum(any(r == tuple(w[i : i + len(r)].tolist()) for w in own for i in range(len(w))) for r in runs(part)) / len(runs(part))
+        question, answer = dc.question_and_answer(items[k][1])
+        if own and ((have(question) >= 0.6 and (not len(answer) or have(answer) >= 0.6)) or (0 < len(answer) < 9 and have(item.words) >= 0.8)):
+            found.add(items[k][0])
+    return found
+
+
+def test_documents_match_a_plain_scan(spark, monkeypatch):
+    """Whole, cut, changed and halved items, short and over several segments, in one shard and in many."""
+    items, word = benchmark_rows(8, seed=6)
+    items += [(8, " ".join(word() for _ in range(150)) + ". " + " ".join(word() for _ in range(12)) + "."), (9, " ".join(word() for _ in range(30)) + ". Yes it is.")]
+    draw = np.random.default_rng(8)
+    texts = [items[9][1][:-12], items[8][1].split(".")[0], " ".join(items[8][1].split()[:60])]
+    for k in range(40):
+        words = [word() for _ in range(int(draw.integers(0, 200)))]
+        for i in draw.integers(0, 10, int(draw.integers(1, 3))).tolist():
+            piece = items[i][1].split()
+            piece = [word() if draw.random() < 0.05 * (k % 3) else w for w in piece][: int(len(piece) * (1, 0.9, 0.6)[k % 3]) + 1]
+            at = int(draw.integers(0, len(words) + 1))
+            words[at:at] = piece
+        texts.append(" ".join(words))
+    want = {i: plain_leaks(items, t) for i, t in enumerate(texts)}
+    assert want[0] == {9} and not want[1] and not want[2] and sum(map(bool, want.values())) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string").selectExpr("*", "1 as extra", "'x' as key")
+    assert {r.doc_id: {int(x[1:]) for x in r.item_ids} for r in dc.decontaminate(docs, bench).collect()} == want
+    alive = []
+    monkeypatch.setattr(dc, "MAX_SHARD", 500)
+    made, build = [], dc.Index.__init__
+
+    def counted(self, rows, *more):
+        gc.collect()
+        alive.append(sum(x() is not None for x in made))
+        made.append(weakref.ref(self))
+        build(self, rows, *more)
+
+    monkeypatch.setattr(dc.Index, "__init__", counted)
+    got = dc.decontaminate(docs, bench).collect()
+    assert {r.doc_id: {int(x[1:]) for x in r.item_ids} for r in got} == want
+    assert len(made) > 2 and max(alive) <= 1  # the one that the loop lets go of
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {i for i, x in want.items() if not x}
+
+
+def test_items_without_an_id_and_scripts_without_spaces(spark):
+    draw = np.random.default_rng(1)
+    text = lambda n: "".join(chr(0x4E00 + int(i)) for i in draw.integers(0, 2000, n))
+    item = text(40) + "。" + text(20) + "。"
+    items = spark.createDataFrame([(None, "Who was it that ran over the hill at night? It was the quick brown fox of the old farm."), (3, item)], "item_id long, text string")
+    docs = [(0, "so: who was it that ran over the hill at night? it was the quick brown fox of the old farm, they said"), (1, text(300) + item + text(50)), (2, text(400))]
+    got = {r.doc_id: r for r in dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert [got[i].contaminated for i in range(3)] == [True, True, False] and got[0].item_ids == [None] and got[1].item_ids == [3]
+
+
 def test_search_matches_plain_scores():
     """Bounds never lose a segment: every score at or above the threshold comes back."""
     items, word = benchmark_rows(60)
-    segments = [s for i, t in items for s in dc.Segment.cut(i, *dc.question_and_answer(t))]
-    terms, df = np.unique(np.concatenate([np.unique(s.words) for s in segments]), return_counts=True)
-    index = dc.Index(segments, len(segments), float(np.mean([len(s.words) for s in segments])), terms, df)
+    index, segments = plain_index(items)
     dense = np.zeros((len(segments), len(index.terms)))
     for t in range(len(index.terms)):
         at = slice(index.ends[t], index.ends[t + 1])
@@ -133,6 +211,18 @@ def test_propagation(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_odd_rows(spark):
+    """Repeated rows, null and repeated ids, very long html, clashing columns."""
+    long_html = "<a href='http://x.com/p'>l</a> " * 20_000
+    rows = [(1, "http://a.net/", long_html), (1, "http://a.net/", long_html), (None, "http://b.net/1", None), (None, None, ""), (2, "http://x.com/de/1", ""), (2, "http://good.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "path", "rule", "verdict", "trust", "distrust", "source", "target", "share"):
+        pages = pages.withColumn(name, uf.F.lit("x"))
+    got = uf.judge(pages).collect()
+    assert len(got) == len(rows) and sorted(map(str, (r.page_id for r in got))) == sorted(str(r[0]) for r in rows)
+    assert [r.verdict for r in got if r.host == "a.net"] == ["block"] * 2 and {r.verdict for r in got if r.host in ("", "b.net")} == {"allow"}
+
+
 def test_links_without_a_scheme(spark):
     html = "<a href='//X.com/p'>l</a> <a href=//y.com>l</a> <a href=\"https://z.com\">l</a> <a href='/local//path'>l</a> <a href='a//b.com'>l</a>"
     got = {(r.source, r.target) for r in uf.host_edges(spark.createDataFrame([("a.net", html)], "host string, html string")).collect()}
@@ -209,6 +299,28 @@ def test_model_finds_written_out_at_signs_without_digits(spark):
     assert got[9] == "" and "<EMAIL>" in {r.doc_id: r.text for r in pii.redact(frame, pii.train()).collect()}[0]
 
 
+def test_windows_without_marks_add_nothing():
+    """Running every window gives the same spans as running those with a mark."""
+    model, draw = pii.train(), np.random.default_rng(11)
+    pieces = ["jane.doe (at) mail.example.org", "anna[at]example.org", "bob@example.com", "(988) 555-2485", "12.34.56.78", "4111.1111.1111.1111", "wörter ohne Zahlen, und mehr", "the report (at last)", "id_123456", "١٢٣-٤٥٦-٧٨٩٠", "A"]
+    texts = ["", "x" * 500] + [" ".join(pieces[i] + " and words" * int(draw.integers(0, 30)) for i in draw.integers(0, len(pieces), 8)) for _ in range(60)]
+    few, every = pii.model_spans(model, texts), pii.model_spans(model, texts, every=True)
+    assert sum(map(len, every)) >= sum(map(len, few)) > 60
+    for text, a, b in zip(texts, few, every, strict=True):
+        assert pii.reconcile(text, pii.base_spans(text), a) == pii.reconcile(text, pii.base_spans(text), b)
+
+
+def test_reconciling_very_many_spans_takes_time_in_proportion():
+    text = "call (988) 555-2485 now " * 200_000
+    spans = [(24 * i + 5, 3, 24 * i + 19) for i in range(200_000)]
+    began = time.time()
+    assert len(pii.reconcile(text, spans[::2], spans)) == 200_000 and time.time() - began < 20
+
+
+def test_longer_spans_win_and_base_stays():
+    assert pii.reconcile("a@b.example.com x (988) 555-2485", [(18, 3, 32)], [(0, 0, 15), (2, 0, 15), (18, 3, 24)]) == [(0, 0, 15), (18, 3, 32)]
+
+
 def test_redaction(spark):
     frame = cases.clashing(spark).limit(0).unionByName(cases.clashing(spark).limit(1)).drop("text").crossJoin(spark.createDataFrame([("to a.b@c.example.com now",), (None,)], "text string")).select(*cases.clashing(spark).columns)
     out = pii.redact(frame, pii.train())
@@ -245,6 +357,52 @@ def test_secrets(spark):
     assert secret_scan.scan(cases.clashing(spark), model).count() == len(cases.rows()) and secret_scan.scan(cases.none(spark), model).count() == 0
 
 
+def plain_random(text, model):
+    """Runs of the alphabet that base spans leave, scored pair by pair."""
+    blank = list(text)
+    for start, _, end in plain_secrets(text):
+        blank[start:end] = " " * (end - start)
+    out, n = [], len(secret_scan.ALPHABET)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", "".join(blank)):
+        score = sum(model[secret_scan.ALPHABET.index(a) * n + secret_scan.ALPHABET.index(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+        if score >= secret_scan.LEAST and score >= secret_scan.LEAST_EACH * (len(m[0]) - 1):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+@pytest.mark.parametrize("part", [1 << 14, 24])
+def test_added_spans_match_a_plain_scan(spark, monkeypatch, part):
+    """Runs beside and inside base spans are cut there; short parts give the same spans."""
+    monkeypatch.setattr(secret_scan, "PART", part)
+    monkeypatch.setattr(secret_scan, "_PARTS", secret_scan._PARTS.replace("{16384}", f"{{{part}}}"))
+    model = secret_scan.train(secret_scan.samples(spark))
+    draw = np.random.default_rng(3)
+    token = lambda n: "".join(secret_scan.ALPHABET[i] for i in draw.integers(0, 62, n))
+    texts = ["Zx9Qm3Lk7Vb2Tn8Rj4Wp6Yd1deadbeefdeadbeef", "deadbeefdeadbeefZx9Qm3Lk7Vb2Tn8Rj4Wp6Yd1", "deadbeefdeadbeefapi_key=Zx9Qm3Lk7Vb2"]
+    for _ in range(60):
+        parts = [["plain words", "token = " + token(20), token(30), "0123456789abcdef01", "AKIA" + "ABCDEFGHIJKLMN27", "get_user_name_list", "é漢😀"][i] + ["", " ", ", ", "\n"][j] for i, j in zip(draw.integers(0, 7, 12), draw.integers(0, 4, 12), strict=True)]
+        texts.append("".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(frame, model).collect():
+        want = sorted(plain_secrets(texts[r.doc_id]) + plain_random(texts[r.doc_id], model))
+        assert r.spans == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want), texts[r.doc_id]
+
+
+def test_a_text_of_very_many_secrets_takes_time_in_proportion(spark):
+    model = secret_scan.train(secret_scan.samples(spark))
+    text = "password=b7db7aa4a5fcc78305, Zx9Qm3Lk7Vb2Tn8Rj4Wp6Yd1\n" * 20_000
+    r = secret_scan.scan(spark.createDataFrame([(0, text)], "doc_id long, text string"), model).first()
+    assert r.n_assign == 20_000 and r.spans.count("random:") == 20_000 and r.spans.endswith(f"random:{len(text) - 25}:{len(text) - 1}")
+
+
+def test_words_of_all_documents_are_counted(spark):
+    docs = spark.createDataFrame([(i, "abcd abcd Efgh no XYZ " + "w" * (i + 4)) for i in range(50)] + [(None, "abcd"), (7, None)], "doc_id long, text string")
+    got = {r.text: r.n for r in secret_scan.samples(spark, docs).where("kind = 'word'").collect()}
+    assert got["abcd"] == 101 and got["Efgh"] == 50 and len(got) == 52
+    more = secret_scan.train(secret_scan.samples(spark, docs.union(docs).union(docs)))
+    assert more == pytest.approx(secret_scan.train(secret_scan.samples(spark, docs)), abs=1.1)  # ln 3, of rows that only the smoothing fills
+
+
 def test_markov_ratio_matches_plain_sum(spark):
     model = secret_scan.train(secret_scan.samples(spark))
     n = len(secret_scan.ALPHABET)
