@@ -49,6 +49,8 @@ RUN = 5
 QUESTION, ANSWER, CLOSE = 0.6, 0.6, 0.8
 MAX_SHARD = 32_000_000
 _BITS = 20
+#: Postings read at once.
+LISTS = 1 << 21
 
 
 def words_of(text: str) -> np.ndarray:
@@ -93,7 +95,7 @@ class Item:
 
 def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values by key below n, for the keys that occur."""
-    if n <= 4 * len(keys):
+    if n <= 16 * len(keys) + 4096:
         total = np.bincount(keys, values, n)
         own = np.flatnonzero(total)
         return own, total[own]
@@ -144,23 +146,34 @@ class Index:
         lo, n = ends[terms], ends[terms + 1] - ends[terms]
         return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def search(self, terms: np.ndarray, theta: float = THETA) -> tuple[np.ndarray, np.ndarray]:
-        """Segments that score theta or more against distinct terms, and their scores."""
-        lists = self._lists(self.block_ends, terms)
-        blocks, bounds = _sums(self.block[lists], self.block_most[lists], self.blocks)
-        good = blocks[bounds >= theta - 1e-9]
-        if not len(good):
-            return np.zeros(0, np.int64), np.zeros(0)
-        lists = self._lists(self.ends, terms)
-        if self.blocks <= 4 * len(lists):
-            wanted = np.zeros(self.blocks, bool)
-            wanted[good] = True
-            lists = lists[wanted[self.where[lists] // BLOCK]]
-        else:
-            lists = lists[np.isin(self.where[lists] // BLOCK, good)]
-        hits, score = _sums(self.where[lists], self.impact[lists], len(self.owner))
-        kept = score >= theta - 1e-9
-        return hits[kept], score[kept]
+    def search(self, windows: np.ndarray, terms: np.ndarray, theta: float = THETA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, segment, score) of the segments that score theta or more against a window's distinct terms; windows ascend."""
+        in_blocks, in_lists = np.diff(self.block_ends)[terms], np.diff(self.ends)[terms]
+        upto, start, out = np.cumsum(in_blocks + in_lists), 0, []
+        while start < len(terms):  # whole windows, of about LISTS postings at once
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + LISTS, "right")))
+            stop = int(np.searchsorted(windows, windows[stop - 1], "right"))
+            own, window = np.unique(windows[start:stop], return_inverse=True)
+            term, lengths = terms[start:stop], in_lists[start:stop]
+            lists = self._lists(self.block_ends, term)
+            cells, bounds = _sums(np.repeat(window, in_blocks[start:stop]) * self.blocks + self.block[lists], self.block_most[lists], len(own) * self.blocks)
+            good = cells[bounds >= theta - 1e-9]
+            start = stop
+            if not len(good):
+                continue
+            hot = np.zeros(len(own), bool)
+            hot[good // self.blocks] = True
+            chosen = hot[window]
+            lists, window = self._lists(self.ends, term[chosen]), np.repeat(window[chosen], lengths[chosen])
+            cell = window * self.blocks + self.where[lists] // BLOCK
+            inside = good[np.minimum(np.searchsorted(good, cell), len(good) - 1)] == cell
+            lists, window = lists[inside], window[inside]
+            cells, score = _sums(window * len(self.owner) + self.where[lists], self.impact[lists], len(own) * len(self.owner))
+            kept = score >= theta - 1e-9
+            out.append((own[cells[kept] // len(self.owner)], cells[kept] % len(self.owner), score[kept]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def documents(self, words: np.ndarray, rows: np.ndarray, theta: float = THETA):
         """(row, item, best score, share of it) of the items found in rows of words."""
@@ -172,24 +185,28 @@ class Index:
         base = np.append(0, np.cumsum(-(-n // length)))
         row = np.searchsorted(rows, at, "right") - 1
         cell = base[row] + (at - rows[row]) // length
+        # A window is a cell and the next one of its document. Bounds with repeated terms, then without.
         bound = np.bincount(cell, self.most[terms], base[-1])
         after = np.append(bound[1:], 0.0)
         after[base[1:][n > 0] - 1] = 0.0  # the next cell is another document's
+        open_ = bound + after >= theta - 1e-9
+        second = cell > base[row]
+        window, term = np.concatenate([cell, cell[second] - 1]), np.concatenate([terms, terms[second]])
+        kept = open_[window]
+        pairs = np.sort(window[kept] * len(self.terms) + term[kept])
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        window, term = pairs // len(self.terms), pairs % len(self.terms)
+        kept = (np.bincount(window, self.most[term], base[-1]) >= theta - 1e-9)[window]
         met: dict[tuple[int, int], list] = {}  # by row and item: best score and windows
         windows: dict[int, np.ndarray] = {}
-        for k in np.flatnonzero(bound + after >= theta - 1e-9).tolist():
+        for k, h, score in zip(*(x.tolist() for x in self.search(window[kept], term[kept], theta)), strict=True):
             r = int(np.searchsorted(base, k, "right")) - 1
-            to = min(k + 2, int(base[r + 1]))
-            i, j = np.searchsorted(cell, (k, to))
-            hits, scores = self.search(np.unique(terms[i:j]), theta)
-            if len(hits):
-                lo = rows[r] + (k - base[r]) * length
-                windows[k] = words[lo : min(lo + 2 * length, rows[r + 1])]
-                for h, score in zip(self.owner[hits].tolist(), scores.tolist(), strict=True):
-                    seen = met.setdefault((r, h), [0.0, []])
-                    seen[0] = max(seen[0], score)
-                    if seen[1][-1:] != [k]:
-                        seen[1].append(k)
+            lo = rows[r] + (k - base[r]) * length
+            windows[k] = words[lo : min(lo + 2 * length, rows[r + 1])]
+            seen = met.setdefault((r, int(self.owner[h])), [0.0, []])
+            seen[0] = max(seen[0], score)
+            if seen[1][-1:] != [k]:
+                seen[1].append(k)
         made: dict[tuple[int, int], np.ndarray] = {}
 
         def runs(width: int, k: int) -> np.ndarray:

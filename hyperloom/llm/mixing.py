@@ -7,12 +7,19 @@ cost spreads repetition as thinly as the quotas allow. The flow has one node per
 size that does not grow with the documents. A pattern's flow is then whole repetitions of all its
 documents and a last part of them, taken in an order drawn from the seed.
 
-The order is a hash of seed and id. Words before a document are those of the hash slices before its own,
-summed over the slices' totals, and a running sum inside its slice, so a source with a third of all rows
-is dealt over SLICES slices.
-
-Defined results: null text has size 0; a null source is the last source; rows of equal id are ordered by
-size; equal tables give equal results; without words every target is 0 and nothing is taken.
+Patterns, sources, targets and flows are tables; none is gathered on the driver, so their number has no limit.
+A source that is one pattern's alone, and a pattern of that source alone, needs no routing: its flow is the
+quota. The other patterns are routed group by group, a group being those connected by shared sources, each in
+a task.
+
+The order is a hash of seed, id, text and sources; rows equal in all of these are numbered, and the number
+goes into the hash, so each is taken or left by itself. Words before a document are those of the hash slices
+before its own, summed over the slices' totals, and a running sum inside its slice, so a source with a third
+of all rows is dealt over 16**SLICE_DIGITS slices.
+
+Defined results: null text has size 0; a null source is the last source; a document without any source is not
+taken; equal tables give equal results; without words every target is 0 and nothing is taken; an empty table
+gives an empty result; other columns are ignored by `mix` and kept, whatever their names, by `taken`.
 """
 
 from __future__ import annotations
@@ -20,157 +27,242 @@ from __future__ import annotations
 from collections import deque
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hyperloom.llm.components import components
 from hyperloom.llm.shared import Work, table, text_column
 
 REPEATS = 3
 SEED = "mix-1"
-#: Hexadecimal digits of the hash that name a slice, and the number of slices.
+#: Hexadecimal digits of the hash that name a slice.
 SLICE_DIGITS = 3
-MAX_PATTERNS = 20_000
+#: Patterns up to which their figures are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: dict, weights: dict, total: int, most: int = REPEATS) -> dict:
-    """Weighted shares of total, none above `most` times its source's size; the excess is shared again."""
-    open_, left, out = set(sizes), Fraction(total), {}
-    while open_:
-        unit = left / sum(weights[s] for s in open_)
-        full = {s for s in open_ if unit * weights[s] > most * sizes[s]}
-        if not full:
-            return out | {s: unit * weights[s] for s in open_}
-        for s in full:
-            out[s] = Fraction(most * sizes[s])
-            left -= out[s]
-        open_ -= full
-    return out
+# ------------------------------------------------------------------------------- sources and targets
 
 
-def route(words: dict[frozenset, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, int]:
-    """Flow of least cost from patterns to quotas: words by (pattern, source).
+def cycled(sources: DataFrame, work: Work) -> DataFrame:
+    """Sources (source, size) with weight 1, 2, 3, repeating, by code point, null last. They are numbered range by range."""
+    ranged = work.keep(sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("task", F.spark_partition_id()))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("task").agg(F.count("*").alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("task").orderBy(F.asc_nulls_last("source"))) - 1
+    return ranged.withColumn("own", own).join(F.broadcast(offsets), "task").select("source", "size", (1 + (F.col("offset") + F.col("own")) % 3).cast("long").alias("weight"))
 
-    Successive shortest paths; the cost of a pattern's r-th repetition is r.
-    """
-    patterns, sources = sorted(words, key=lambda p: sorted(map(str, p))), sorted(quotas, key=str)
-    n = 2 + len(patterns) + len(sources)
-    start, end = n - 2, n - 1
-    graph: list[list[list]] = [[] for _ in range(n)]
 
-    def arc(u, v, room, cost):
-        graph[u].append([v, room, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
+def with_targets(sources: DataFrame, total: int, most: int = REPEATS) -> DataFrame:
+    """Sources (source, size, weight) with their target and quota (the target as a whole number).
 
-    for i, p in enumerate(patterns):
-        for r in range(1, repeats + 1):
-            arc(start, i, words[p], r)
-        for j, s in enumerate(sources):
-            if s in p:
-                arc(i, len(patterns) + j, 1 << 62, 0)
-    for j, s in enumerate(sources):
-        arc(len(patterns) + j, end, quotas[s], 0)
+    Targets are shares of total by weight, none above `most` times its source's size; the excess is shared
+    again by weight. Each round is one sum over the sources: those that stop at the present unit stop for
+    good, and the unit grows, until no more do.
+    """
+    wide = lambda c: c.cast("decimal(19,0)")
+    stopped, weights = 0, sources.agg(F.sum("weight").alias("w")).first().w or 0
+    left, open_ = total, weights
     while True:
-        cost, back, queue, queued = [None] * n, [None] * n, deque([start]), {start}
-        cost[start] = 0
-        while queue:
-            u = queue.popleft()
-            queued.discard(u)
-            for k, (v, room, price, _) in enumerate(graph[u]):
-                if room > 0 and (cost[v] is None or cost[u] + price < cost[v]):
-                    cost[v], back[v] = cost[u] + price, (u, k)
-                    if v not in queued:
-                        queue.append(v)
-                        queued.add(v)
-        if cost[end] is None:
+        stops = wide(F.lit(left)) * wide(F.col("weight")) > wide(F.lit(most) * F.col("size")) * wide(F.lit(open_))
+        found = sources.where(stops).agg(F.sum(F.lit(most) * F.col("size")).alias("s"), F.sum("weight").alias("w")).first()
+        now = found.s or 0
+        if now == stopped and (found.w or 0) == weights - open_:
             break
-        amount, v = 1 << 62, end
-        while v != start:
-            u, k = back[v]
-            amount, v = min(amount, graph[u][k][1]), u
-        v = end
-        while v != start:
-            u, k = back[v]
-            graph[u][k][1] -= amount
-            graph[v][graph[u][k][3]][1] += amount
-            v = u
-    return {(p, sources[a[0] - len(patterns)]): (1 << 62) - a[1] for i, p in enumerate(patterns) for a in graph[i] if len(patterns) <= a[0] < n - 2 and a[1] < 1 << 62}
+        stopped, open_, left = now, weights - found.w, total - now
+    share = (F.lit(left) * F.col("weight")).cast("double") / F.lit(float(open_ or 1))
+    target = F.when(stops, (F.lit(most) * F.col("size")).cast("double")).otherwise(share)
+    return sources.withColumn("target", target).withColumn("quota", F.bround("target", 0).cast("long"))
 
 
-def weights_of(sources: list) -> dict:
-    """1, 2, 3, repeating, over sources by code point, null last."""
-    ordered = sorted((s for s in sources if s is not None), key=lambda s: s.encode("utf-8", "surrogatepass")) + [None] * (None in sources)
-    return {s: 1 + i % 3 for i, s in enumerate(ordered)}
+# --------------------------------------------------------------------------------------- the flow
+
+
+def route(words: dict, members: dict, quotas: dict, repeats: int = REPEATS) -> dict:
+    """Flow of least cost from patterns (words, and sources by members) to the sources' quotas: words by pattern.
+
+    The cost of a pattern's r-th repetition is r, and no path returns to the start, so shortest paths come by
+    repetition: each r in turn adds its room to the start's arcs, and blocking flows fill what they can.
+    """
+    patterns, sources = list(words), list(quotas)
+    place = {s: len(patterns) + j for j, s in enumerate(sources)}
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    graph: list[list[int]] = [[] for _ in range(end + 1)]
+    to: list[int] = []
+    room: list[int] = []
+
+    def arc(u, v, r):
+        for a, b, x in ((u, v, r), (v, u, 0)):
+            graph[a].append(len(to))
+            to.append(b)
+            room.append(x)
+
+    first = len(to)
+    for i in range(len(patterns)):
+        arc(start, i, 0)
+    for i, p in enumerate(patterns):
+        for s in members[p]:
+            arc(i, place[s], 1 << 62)
+    for s in sources:
+        arc(place[s], end, quotas[s])
+
+    def levels():
+        depth, queue = [-1] * (end + 1), deque([start])
+        depth[start] = 0
+        while queue:
+            u = queue.popleft()
+            for k in graph[u]:
+                if room[k] > 0 and depth[to[k]] < 0:
+                    depth[to[k]] = depth[u] + 1
+                    queue.append(to[k])
+        return depth
+
+    for _ in range(repeats):
+        for i, p in enumerate(patterns):
+            room[first + 2 * i] += words[p]
+        while (depth := levels())[end] >= 0:
+            tried, path, u = [0] * (end + 1), [], start
+            while True:
+                if u == end:
+                    amount = min(room[k] for k in path)
+                    for k in path:
+                        room[k] -= amount
+                        room[k ^ 1] += amount
+                    full = next(i for i, k in enumerate(path) if room[k] == 0)
+                    u, path = to[path[full] ^ 1], path[:full]
+                while tried[u] < len(graph[u]):
+                    k = graph[u][tried[u]]
+                    if room[k] > 0 and depth[to[k]] == depth[u] + 1:
+                        break
+                    tried[u] += 1
+                else:
+                    if u == start:
+                        break
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                    continue
+                path.append(k)
+                u = to[k]
+    return {p: room[(first + 2 * i) ^ 1] for i, p in enumerate(patterns)}
+
+
+def _routed(patterns: DataFrame, sources: DataFrame, repeats: int, work: Work) -> DataFrame:
+    """(sources, flow) of patterns (sources, size): quotas of lone sources, and routed groups."""
+    pairs = patterns.select("sources", F.col("size").alias("words"), F.explode("sources").alias("source"))
+    use = pairs.groupBy("source").agg(F.count("*").alias("patterns"), F.max(F.size("sources")).alias("widest"))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    used = sources.alias("s").join(use.alias("u"), same("s", "u")).select("s.source", "quota", ((F.col("patterns") == 1) & (F.col("widest") == 1)).alias("lone"))
+    arcs = work.keep(pairs.alias("p").join(used.alias("u"), same("p", "u")).select("sources", "words", "p.source", "quota", "lone"))
+    lone = arcs.where("lone").select("sources", F.least("quota", F.col("words") * repeats).alias("flow"))
+    shared = arcs.where("not lone").select("sources", "words", "source", "quota", F.xxhash64(F.lit("p"), "sources").alias("u"), F.xxhash64(F.lit("s"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).alias("v"))
+    if shared.isEmpty():
+        return lone
+    shared = work.keep(shared)
+    groups = components(shared.select("u", "v"), work)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["u", "v"])
+        flow = route(dict(zip(rows.u, rows.words, strict=True)), rows.groupby("u").v.apply(list).to_dict(), dict(zip(rows.v, rows.quota, strict=True)), repeats)
+        return pd.DataFrame({"u": list(flow), "flow": [int(x) for x in flow.values()]})
+
+    rows = shared.select("u", "v", "words", "quota").join(groups.select(F.col("id").alias("u"), "root"), "u").groupBy("root")
+    flows = rows.applyInPandas(solve, "u long, flow long")
+    return lone.union(shared.select("u", "sources").distinct().join(flows, "u").select("sources", "flow"))
+
+
+# -------------------------------------------------------------------------------------- documents
 
 
 def _measured(docs: DataFrame, id_column, sources, text: str, seed: str, *more) -> DataFrame:
-    """Sources, size and draw of each document, with further columns."""
-    key = F.col(id_column).cast("long")
-    draw = F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary"))
-    return docs.select(key.alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), F.regexp_count(text_column(text), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), *more)
+    """Id, sources, size and key (a hash of seed, id, text and sources) of each document, with further columns."""
+    found = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), text_column(text).alias("mix_text"), *more)
+    names = F.array_join(F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))), ",")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("mix_text").cast("binary")), names).cast("binary"))
+    return found.select("doc_id", "sources", F.regexp_count("mix_text", F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *(c for c in found.columns if c not in ("doc_id", "sources", "mix_text")))
 
 
-def plan(docs: DataFrame, weights=weights_of, share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
-    """Per membership pattern of measured documents: source_size, target, whole repetitions, and the last (draw, doc_id, size) of the last part.
+def _drawn(rows: DataFrame, work: Work) -> DataFrame:
+    """Measured rows with their draw: the key, or a hash of it and a number for all but one of the rows that share it.
 
-    At most MAX_PATTERNS rows.
+    Rows of one key are alike; they are numbered task by task, so no task needs all of them.
     """
-    spark = docs.sparkSession
-    rows = docs.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    words = {frozenset(x.sources): x["size"] for x in rows}
-    sizes: dict = {}
-    for pattern, size in words.items():
-        for s in pattern:
-            sizes[s] = sizes.get(s, 0) + size
-    wanted = targets(sizes, weights(list(sizes)), int(sum(words.values()) * Fraction(share)), repeats)
-    flow: dict = {}
-    for (pattern, _), n in route(words, {s: round(t) for s, t in wanted.items()}, repeats).items():
-        flow[pattern] = flow.get(pattern, 0) + n
-    made = [(x.sources, sum(sizes[s] for s in x.sources), float(sum(wanted[s] for s in x.sources)), *divmod(flow.get(frozenset(x.sources), 0), x["size"] or 1)) for x in rows]
-    made = spark.createDataFrame(made, "sources array<string>, source_size long, target double, whole long, part long")
+    many = work.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    if many.isEmpty():
+        return rows.withColumn("draw", F.col("key"))
+    repeated = work.keep(rows.join(many, "key", "left_semi").withColumn("mix_task", F.spark_partition_id()).withColumn("mix_place", F.monotonically_increasing_id()))
+    counts = repeated.groupBy("key", "mix_task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("mix_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("key", "mix_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_offset"))
+    own = F.row_number().over(Window.partitionBy("key", "mix_task").orderBy("mix_place")) - 1
+    number = F.col("mix_offset") + own
+    draw = F.when(number == 0, F.col("key")).otherwise(F.md5(F.concat_ws(":", "key", number.cast("string")).cast("binary")))
+    numbered = repeated.join(offsets, ["key", "mix_task"]).withColumn("draw", draw).select(*rows.columns, "draw")
+    return rows.join(many, "key", "left_anti").select(*rows.columns, F.col("key").alias("draw")).union(numbered)
+
+
+def plan(docs: DataFrame, work: Work, weights=cycled, share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
+    """Per membership pattern of drawn documents: source_size, target, whole repetitions, and where the last part ends: its slice and last draw."""
+    patterns = work.keep(docs.groupBy("sources").agg(F.sum("size").cast("long").alias("size")))
+    pairs = patterns.select("sources", "size", F.explode("sources").alias("source"))
+    sources = weights(pairs.groupBy("source").agg(F.sum("size").cast("long").alias("size")), work)
+    total = int((patterns.agg(F.sum("size").alias("n")).first().n or 0) * Fraction(share))
+    sources = work.keep(with_targets(work.keep(sources), total, repeats))
+    flows = _routed(patterns, sources, repeats, work)
+    own = pairs.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).groupBy("sources").agg(F.sum("s.size").alias("source_size"), F.sum("target").alias("target"))
+    made = patterns.join(own, "sources", "left").join(flows, "sources", "left").select(
+        "sources", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
+        F.expr("coalesce(flow, 0) div greatest(size, 1)").alias("whole"), F.expr("coalesce(flow, 0) % greatest(size, 1)").alias("part"),
+    )
+    made = work.keep(made)
     # Words of the slices before a slice, and of the documents before a document in its slice.
+    docs = docs.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS))
     slices = docs.groupBy("sources", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sources").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("sources", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"), "words")
+    slices = slices.select("sources", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     # Only the slice in which a part ends is ordered by document; those before it are taken whole.
-    ends = slices.join(F.broadcast(made.select("sources", "part")), "sources").where("part > 0 and before <= part")
-    ends = ends.groupBy("sources", "part").agg(F.max_by(F.struct("slice", "before"), "slice").alias("x")).select("sources", "part", "x.slice", "x.before")
-    inside = Window.partitionBy("sources", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = docs.select("sources", "slice", "draw", "doc_id", "size").join(F.broadcast(ends), ["sources", "slice"]).withColumn("upto", F.sum("size").over(inside))
+    few = _small if made.count() <= BROADCAST else lambda x: x
+    ends = slices.join(few(made.select("sources", "part")), "sources").where("part > 0 and before <= part")
+    ends = work.keep(ends.groupBy("sources", "part").agg(F.max(F.struct("slice", "before")).alias("x")).select("sources", "part", "x.slice", "x.before"))
+    inside = Window.partitionBy("sources", "slice").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = docs.select("sources", "slice", "draw", "size").join(few(ends), ["sources", "slice"]).withColumn("upto", F.sum("size").over(inside))
     # The part ends with the document whose middle is still inside it.
     last = last.where(F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("part"))
-    last = last.groupBy("sources").agg(F.max(F.struct("draw", "doc_id", "size")).alias("last"))
+    last = last.groupBy("sources").agg(F.max("draw").alias("last"))
     return made.join(ends.select("sources", "slice"), "sources", "left").join(last, "sources", "left")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows)  # at most BROADCAST rows
+
+
 def _applied(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """Measured documents with their pattern's figures and the words taken of each."""
-    own = F.struct("draw", "doc_id", "size")
-    more = (F.substring("draw", 1, SLICE_DIGITS) < F.col("slice")) | (F.col("last").isNotNull() & (own <= F.col("last")))
-    joined = docs.join(F.broadcast(made), "sources")  # at most MAX_PATTERNS rows
+    """Drawn documents with their pattern's figures and the words taken of each."""
+    more = (F.substring("draw", 1, SLICE_DIGITS) < F.col("slice")) | (F.col("last").isNotNull() & (F.col("draw") <= F.col("last")))
+    joined = docs.join(_small(made) if made.count() <= BROADCAST else made, "sources")
     return joined.withColumn("taken", F.col("size") * (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")))
 
 
-def mix(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=weights_of, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=cycled, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
     """One row per document: doc_id, sources, size, source_size, target, taken.
 
     sources: a column with an array of a document's sources. source_size and target are sums over them.
-    Repeated rows of equal id and size stand or fall together.
+    weights: of (sources with their size, work) to the same with a whole weight.
     """
     work = Work(docs.sparkSession, "mixing")
-    measured = work.keep(_measured(docs, id_column, sources, text, seed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
-    made = work.keep(plan(measured, weights, share, repeats))
-    return _applied(measured.drop("slice"), made).select("doc_id", "sources", "size", "source_size", "target", "taken")
+    drawn = work.keep(_drawn(work.keep(_measured(docs, id_column, sources, text, seed)), work))
+    made = work.keep(plan(drawn, work, weights, share, repeats))
+    return _applied(drawn, made).select("doc_id", "sources", "size", "source_size", "target", "taken")
 
 
-def taken(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=weights_of, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
-    """The documents that the mix takes, with their columns and mix_size, mix_target, mix_taken. The texts are not shuffled."""
+def taken(docs: DataFrame, sources, id_column: str = "doc_id", text: str = "text", weights=cycled, share: float = 1.0, seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
+    """The documents that the mix takes, with their columns and mix_size, mix_target, mix_taken. The texts are shuffled only where rows are alike in id, text and sources."""
     work = Work(docs.sparkSession, "mixing")
-    measured = work.keep(_measured(docs, id_column, sources, text, seed).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
-    made = work.keep(plan(measured, weights, share, repeats))
-    out = _applied(_measured(docs, id_column, sources, text, seed, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), made)
+    drawn = work.keep(_drawn(work.keep(_measured(docs, id_column, sources, text, seed)), work))
+    made = work.keep(plan(drawn, work, weights, share, repeats))
+    whole = _measured(docs, id_column, sources, text, seed, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = _applied(_drawn(whole, work), made)
     return out.where("taken > 0").select("row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
 
 
@@ -184,9 +276,11 @@ QUERIES = {"op6_mixing": op6_mixing}
 ORACLE = {
     "op6_mixing": r"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix-1:' || doc_id) AS draw
-  FROM documents),
+  SELECT doc_id, source, size, CASE WHEN number = 0 THEN key ELSE md5(key || ':' || number) END AS draw
+  FROM (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || coalesce('s' || source, 'n')) AS key
+    FROM documents))),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
@@ -210,7 +304,7 @@ placed AS (
   SELECT doc_id, size, source_size, target,
          round_even(target, 0)::BIGINT // greatest(source_size, 1) AS whole,
          round_even(target, 0)::BIGINT % greatest(source_size, 1) AS part,
-         sum(size) OVER (PARTITION BY docs.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+         sum(size) OVER (PARTITION BY docs.source ORDER BY draw ROWS UNBOUNDED PRECEDING) AS upto
   FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN part > 0 AND upto - size / 2.0 <= part THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -135,7 +135,7 @@ def test_search_matches_plain_scores():
         query = np.unique(draw.integers(0, len(index.terms), int(draw.integers(1, 200))))
         for theta in (0.1, 0.3, 0.5):
             score = dense[:, query].sum(axis=1)
-            hits, scores = index.search(query, theta)
+            _, hits, scores = index.search(np.zeros(len(query), np.int64), query, theta)
             assert hits.tolist() == np.flatnonzero(score >= theta - 1e-9).tolist() and np.allclose(scores, score[hits])
 
 
