@@ -1,11 +1,12 @@
 """Quality: random-indexing word vectors pooled per document, then a two-layer network.
 
 Random indexing. Every word has a sparse ternary index vector drawn from its hash. A word's vector is
-the mean of the index vectors of its neighbours (two on either side) over the labelled sample; a word
-too rare there uses the index vector of its hash. Word shapes (which kinds of characters a word holds,
-and whether it repeats a word just before) are words of a second, small vocabulary with index vectors
-of their own. A document is pooled to the mean and spread of its word vectors and the mean of its
-shape vectors; nothing else about it is an input.
+its index vector and the mean of those of its neighbours (two on either side) over the labelled sample. The
+vocabulary is the commonest words of the sample; a word outside it, and one not in plain form (with
+digits or signs, or a repetition of the word just before), is represented by its form: the kinds of
+characters it holds and whether it repeats are a word of the same vocabulary, with index vector and
+neighbours like any other. A document is pooled to the mean and spread of its word vectors; nothing else
+about it is an input.
 
 Network. Pooled vectors, standardised, to HIDDEN rectified units to one logit, trained with Adam in
 numpy on a bounded sample of labelled rows. A part of the sample (CALIBRATION) is kept from training
@@ -13,7 +14,7 @@ and sets the temperature that divides the logit.
 
 Defined results: null text counts as empty; an empty text pools to zeros and is scored like any other;
 without both labels in the sample every score is the sample's smoothed share; repeated rows have equal
-scores.
+scores; an empty table gives an empty result; other columns are ignored, or kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from hyperloom.llm.shared import small_batches, table, text_column
 DIM = 32
 NONZERO = 6
 NEIGHBOURS = 2
-RARE = 1 << 14
 VOCABULARY = 1 << 15
 SHAPES = 512
 HIDDEN = 32
@@ -42,6 +42,8 @@ _WORD = ~tk.SPACE
 _KIND = np.full(256, 64, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 128
 _KIND[[46, 44]], _KIND[33], _KIND[124] = 8, 16, 32
+#: Forms that leave a word its own vector: letters, a stop or comma, no repetition.
+_PLAIN = np.isin(np.arange(SHAPES), [a | b for a in (1, 2, 3, 128, 129, 130, 131) for b in (0, 8)])
 
 
 def index_vectors(seeds: np.ndarray) -> np.ndarray:
@@ -69,66 +71,65 @@ def words(data: np.ndarray, offsets: np.ndarray):
 
 
 class Model:
-    """Word vectors, shape vectors, the network and its temperature."""
+    """Vectors of forms and words, the network and its temperature."""
 
     def __init__(self):
         self.known = np.zeros(0, np.uint64)
-        self.vectors = index_vectors(tk.mix(np.arange(RARE, dtype=np.uint64)))
-        self.shapes = index_vectors(tk.mix(np.arange(SHAPES, dtype=np.uint64) + np.uint64(1 << 32)))
+        self.vectors = index_vectors(tk.mix(np.arange(SHAPES, dtype=np.uint64) + np.uint64(1 << 32)))
         self.layers = None
         self.temperature, self.bias = 1.0, 0.0
 
-    def _places(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (hashes & np.uint64(RARE - 1)).astype(np.int64)
+    def _places(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """Rows of the words' vectors: a plain common word's own, else its form's."""
         if not len(self.known):
-            return rare
+            return shapes
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, RARE + at, rare)
+        return np.where((self.known[at] == hashes) & _PLAIN[shapes], SHAPES + at, shapes)
 
     def learn_words(self, column: pa.Array) -> None:
         """Word vectors from the neighbours of the commonest words of the sample."""
         parts = [column.slice(i, 256) for i in range(0, len(column), 256)]
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in parts:
-            for found, _, _ in words(*tk.arrow_bytes(part)):
-                own, n = np.unique(found, return_counts=True)
+            for found, shapes, _ in words(*tk.arrow_bytes(part)):
+                own, n = np.unique(found[_PLAIN[shapes]], return_counts=True)
                 both = np.concatenate([hashes, own])
                 hashes, place = np.unique(both, return_inverse=True)
                 counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
         common = np.flatnonzero(counts >= 5)
         common = common[np.argsort(-counts[common], kind="stable")[:VOCABULARY]]
         self.known = np.sort(hashes[common])
-        index = index_vectors(self.known)
+        index = np.concatenate([self.vectors[:SHAPES], index_vectors(self.known)])
         total = np.zeros_like(index, np.float64)
         for part in parts:
-            for found, _, row in words(*tk.arrow_bytes(part)):
-                place = self._places(found) - RARE
+            for found, shapes, row in words(*tk.arrow_bytes(part)):
+                place = self._places(found, shapes)
                 for step in range(1, NEIGHBOURS + 1):
-                    a, b = place[:-step], place[step:]
-                    good = (a >= 0) & (b >= 0) & (row[:-step] == row[step:])
-                    for x, y in ((a[good], b[good]), (b[good], a[good])):
+                    good = row[:-step] == row[step:]
+                    a, b = place[:-step][good], place[step:][good]
+                    for x, y in ((a, b), (b, a)):
                         for d in range(DIM):
-                            total[:, d] += np.bincount(x, index[y, d], len(self.known))
+                            total[:, d] += np.bincount(x, index[y, d], len(index))
         length = np.sqrt(np.square(total).sum(axis=1, keepdims=True))
-        learned = np.where(length > 0, total / np.maximum(length, 1e-9), index).astype(np.float32)
-        self.vectors = np.concatenate([self.vectors[:RARE], learned])
+        learned = np.where(length > 0, total / np.maximum(length, 1e-9), index)
+        # A word stands for itself as well as for its neighbours.
+        self.vectors = ((learned + index) / np.sqrt(2)).astype(np.float32)
 
     def pool(self, column: pa.Array) -> np.ndarray:
-        """Mean and spread of word vectors and mean of shape vectors, by row."""
+        """Mean and spread of word vectors, by row."""
         data, offsets = tk.arrow_bytes(column)
         n = len(offsets) - 1
-        total, square, shape, count = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n)
+        total, square, count = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n)
         for hashes, shapes, row in words(data, offsets):
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             rows = row[first]
-            vectors = self.vectors[self._places(hashes)]
+            vectors = self.vectors[self._places(hashes, shapes)]
             total[rows] += np.add.reduceat(vectors, first, axis=0)
             square[rows] += np.add.reduceat(vectors * vectors, first, axis=0)
-            shape[rows] += np.add.reduceat(self.shapes[shapes], first, axis=0)
             count[rows] += np.diff(np.append(first, len(row)))
         each = np.maximum(count, 1)[:, None]
         mean = total / each
-        return np.concatenate([mean, np.sqrt(np.maximum(square / each - mean * mean, 0)), shape / each], axis=1)
+        return np.concatenate([mean, np.sqrt(np.maximum(square / each - mean * mean, 0))], axis=1)
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         if self.layers is None:
@@ -188,7 +189,7 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most RARE + VOCABULARY vectors
+    shared = spark.sparkContext.broadcast(model)  # at most SHAPES + VOCABULARY vectors
 
     def run(batches):
         for batch in batches:

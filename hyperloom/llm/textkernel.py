@@ -108,6 +108,13 @@ def _classes() -> np.ndarray:
     return out
 
 
+def is_letter(points: np.ndarray) -> np.ndarray:
+    """Whether code points are letters, marks or digits."""
+    if not len(points) or points.max() < 128:
+        return WORDLIKE[points]
+    return _classes()[points] > 0
+
+
 def _beyond(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, lengths in bytes and code points of the characters beyond ASCII."""
     at = np.flatnonzero(data >= 0xC0)

@@ -9,7 +9,8 @@ A text is then cut into pre-tokens. Those proved to be one token count 1 without
 are merged, by the tokenizer, and a bounded table remembers the commonest results. A vocabulary for which
 the second or third fact fails is encoded whole.
 
-Defined results: null text counts as empty, an empty text has no tokens; repeated rows have equal counts.
+Defined results: null text counts as empty, an empty text has no tokens; repeated rows have equal counts; an
+empty table gives an empty result; columns besides id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

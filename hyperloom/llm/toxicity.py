@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of 3 to 7 bytes of the lower-case text, punctuation read as space; a
-feature counts once a text. Its log-count ratio is the log of its smoothed share of toxic texts over
+Features are hashed n-grams of 3 to 7 characters (code points) of the text in Unicode lower case, all but
+letters, marks and digits read as space; a feature counts once a text. Its log-count ratio is the log of its smoothed share of toxic texts over
 that of the others. The KEPT features whose shares differ most (in standard errors) enter a logistic
 regression on presence times ratio, trained on a bounded sample of labelled rows. Only features with a
 weight are looked up when scoring, and every whole text is scored.
 
 Defined results: null text counts as empty; an empty text scores as a text without any feature; without
-both labels in the sample every score is the sample's smoothed share; repeated rows have equal scores.
+both labels in the sample every score is the sample's smoothed share; repeated rows have equal scores; an
+empty table gives an empty result; columns besides id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +26,19 @@ ORDERS = (3, 4, 5, 6, 7)
 BITS = 21
 KEPT = 4096
 THRESHOLD = 0.3
-_TO_SPACE = np.where(tk.WORDLIKE, np.arange(256), 32).astype(np.uint8)
-_CODE = (tk._BYTE >> np.uint64(32)).astype(np.uint32)
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray):
-    """For each order: hashed n-grams (BITS bits) at every byte, and the first byte past the last whole one of each row."""
-    plain = _TO_SPACE[tk.lowered(data)]
-    code = _CODE[plain]
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters in lower case, space for all but letters, marks and digits; and the rows' offsets in them."""
+    found, offsets = tk.code_points(*tk.arrow_bytes(tk.lower(column)))
+    return np.where(tk.is_letter(found), found, np.uint32(32)), offsets
+
+
+def ngrams(found: np.ndarray, offsets: np.ndarray):
+    """For each order: hashed n-grams (BITS bits) at every character, and the first one past the last whole one of each row."""
+    code = found * np.uint32(0x9E3779B1)
+    code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    code ^= code >> np.uint32(12)
     value = code.copy()
     for order in range(2, max(ORDERS) + 1):
         if len(code) < order:
@@ -44,12 +50,12 @@ def ngrams(data: np.ndarray, offsets: np.ndarray):
             yield mixed >> np.uint32(32 - BITS), offsets[1:] - (order - 1)
 
 
-def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+def present(chars: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct (row << BITS | feature), of wanted features only if given."""
     if wanted is None:
-        return _all_present(data, offsets)
+        return _all_present(chars, offsets)
     found = []
-    for feature, stops in ngrams(data, offsets):
+    for feature, stops in ngrams(chars, offsets):
         at = np.flatnonzero(wanted[feature])
         row = np.searchsorted(offsets, at, "right") - 1
         whole = at < stops[row]
@@ -57,9 +63,9 @@ def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = N
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _all_present(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _all_present(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Distinct (row << BITS | feature) of all features, row by row: a feature's last place in a row stands for it."""
-    orders, table, out = list(ngrams(data, offsets)), np.zeros(1 << BITS, np.int32), []
+    orders, table, out = list(ngrams(chars, offsets)), np.zeros(1 << BITS, np.int32), []
     for row, lo in enumerate(offsets[:-1]):
         own = [feature[lo : max(lo, stops[row])] for feature, stops in orders]
         own = np.concatenate(own) if own else np.zeros(0, np.uint32)
@@ -77,7 +83,7 @@ class Model:
         self.used = self.weight != 0
 
     def score(self, column: pa.Array) -> np.ndarray:
-        data, offsets = tk.arrow_bytes(column)
+        chars, offsets = characters(column)
         n = len(offsets) - 1
         total = np.full(n, self.bias)
         at = 0
@@ -87,10 +93,10 @@ class Model:
             if to - at == 1 and rows[-1] > 4 * tk.BLOCK:  # a very long text, piece by piece
                 keys = np.zeros(0, np.int64)
                 for i in range(0, int(rows[-1]), tk.BLOCK):
-                    piece = data[lo + i : min(lo + i + tk.BLOCK + max(ORDERS) - 1, offsets[to])]
+                    piece = chars[lo + i : min(lo + i + tk.BLOCK + max(ORDERS) - 1, offsets[to])]
                     keys = np.union1d(keys, present(piece, np.array([0, len(piece)]), self.used))
             else:
-                keys = present(data[lo : offsets[to]], rows, self.used)
+                keys = present(chars[lo : offsets[to]], rows, self.used)
             total[at:to] += np.bincount(keys >> BITS, self.weight[keys & ((1 << BITS) - 1)], to - at)
             at = to
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
@@ -107,11 +113,10 @@ def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, steps: int = 6
 
     def parts():
         for i in range(0, len(texts), step):
-            data, offsets = tk.arrow_bytes(column.slice(i, step))
-            yield i, data, offsets
+            yield i, *characters(column.slice(i, step))
 
-    for i, data, offsets in parts():
-        keys = present(data, offsets)
+    for i, chars, offsets in parts():
+        keys = present(chars, offsets)
         feature, toxic = keys & ((1 << BITS) - 1), labels[i + (keys >> BITS)]
         for k in (0, 1):
             shares[k] += np.bincount(feature[toxic == k], minlength=1 << BITS)
@@ -125,8 +130,8 @@ def train(texts: list[str], labels: np.ndarray, kept: int = KEPT, steps: int = 6
     wanted = np.zeros(1 << BITS, bool)
     wanted[chosen] = True
     places, rows = [], []
-    for i, data, offsets in parts():
-        keys = present(data, offsets, wanted)
+    for i, chars, offsets in parts():
+        keys = present(chars, offsets, wanted)
         places.append(np.searchsorted(chosen, keys & ((1 << BITS) - 1)).astype(np.int32))
         rows.append((i + (keys >> BITS)).astype(np.int32))
     place, row = np.concatenate(places), np.concatenate(rows)

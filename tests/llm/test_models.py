@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy; token counts against the library."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -75,6 +76,67 @@ def test_sample_takes_each_id_once(spark):
     assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1,)) and texts == ["a"] and y.tolist() == [1]
 
 
+def test_toxicity_scores_match_a_plain_sum(spark):
+    """Every score is the bias and the weights of the distinct n-grams of the text, found one by one."""
+    _, _, rows = frames(spark)
+    model = toxicity.train([r[1] for r in rows], np.array([r[3] for r in rows]))
+    weight_of = {}
+
+    def feature(gram):
+        if gram not in weight_of:
+            found = list(toxicity.ngrams(np.array([ord(c) for c in gram], np.uint32), np.array([0, len(gram)])))[len(gram) - min(toxicity.ORDERS)][0]
+            weight_of[gram] = int(found[0])
+        return weight_of[gram]
+
+    texts = [rows[k][1][:90] for k in range(0, 60, 6)] + ["", "ab", "ÀÉ you BLOCKHEAD, ты Dunce!", "漢字 numskull"]
+    got = model.score(pa.array(texts, pa.large_string()))
+    for text, score in zip(texts, got, strict=True):
+        plain = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
+        grams = {feature(plain[i : i + n]) for n in toxicity.ORDERS for i in range(len(plain) - n + 1)}
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(float(model.weight[g]) for g in grams)))), rel=1e-5)
+
+
+def test_naive_bayes_ratios():
+    """Features of toxic texts alone weigh towards toxic, those of the others away from it."""
+    model = toxicity.train(["bad word here"] * 20 + ["good word there"] * 20, np.array([1] * 20 + [0] * 20))
+    bad, good, both = model.score(pa.array(["bad", "good", "word"]))
+    assert bad > 0.55 and good < 0.45 and good < both < bad
+
+
+def test_quality_scores_match_a_plain_network(spark):
+    """Pooling word by word and the network by hand give the same scores."""
+    _, _, rows = frames(spark)
+    model = quality.train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    texts = [r[1] for r in rows[:20]] + ["", "One, two!! 33 x|y ÉTÉ été été", " \n"]
+    known = {int(h): quality.SHAPES + i for i, h in enumerate(model.known)}
+    for text, score in zip(texts, model.score(pa.array(texts, pa.large_string())), strict=True):
+        vectors, before = [], None
+        for raw in text.split():
+            data = raw.encode()
+            shape = 0
+            for c in data:
+                shape |= 1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 4 if 48 <= c < 58 else 128 if c >= 128 else 8 if c in b",." else 16 if c == 33 else 32 if c == 124 else 64
+            low = quality.tk.lowered(np.frombuffer(data, np.uint8))
+            own = int(quality.tk.hash_spans(low, np.array([0]), np.array([len(low)]))[0])
+            shape += 256 * (own == before)
+            before = own
+            plain = shape < 256 and shape & ~8 in (1, 2, 3, 128, 129, 130, 131)
+            vectors.append(model.vectors[known.get(own, shape) if plain else shape].astype(float))
+        pooled = np.zeros(2 * quality.DIM)
+        if vectors:
+            pooled = np.concatenate([np.mean(vectors, axis=0), np.std(vectors, axis=0)])
+        centre, scale, w1, b1, w2, b2 = model.layers
+        z = (np.maximum((pooled - centre) / scale @ w1 + b1, 0) @ w2 + b2) / model.temperature
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4), text
+
+
+def test_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    few, _ = labelled.sample(docs, labels, "toxic", total=1050)
+    assert len(few) == 10 and len(labelled.sample(docs, labels, "toxic")[0]) > 100
+
+
 def test_quality_keeps_rows_and_columns(spark):
     docs, labels, rows = frames(spark)
     model = quality.fitted(docs, labels)
@@ -90,8 +152,7 @@ def test_very_long_text_scores_like_its_pieces():
     model = toxicity.Model(0.0, weight)
     text = " ".join(prose(np.random.default_rng(0), 1_200_000))
     assert len(text) > 4 * toxicity.tk.BLOCK
-    data, offsets = toxicity.tk.arrow_bytes(pa.array([text]))
-    keys = toxicity.present(data, offsets, model.used)
+    keys = toxicity.present(*toxicity.characters(pa.array([text])), model.used)
     want = 1 / (1 + np.exp(-min(50, 0.001 * len(keys))))
     assert model.score(pa.array([text]))[0] == pytest.approx(want, rel=1e-5)
 
