@@ -55,36 +55,55 @@ def fact_vectors(spark, seed: int, dimension: int = DIMENSION) -> np.ndarray:
     return unpacked(np.array([x.words for x in rows], np.int64)).reshape(ITEMS, LEVELS, dimension)
 
 
+def shared_books(spark, seeds, books: dict | None = None, dimension: int = DIMENSION):
+    """Each seed's fact vectors, broadcast: a fixed 250 vectors a seed."""
+    return spark.sparkContext.broadcast(books or {s: fact_vectors(spark, s, dimension) for s in seeds})
+
+
 def prefixes(book: np.ndarray, scored: np.ndarray, widths=WIDTHS) -> np.ndarray:
-    """(respondents, widths, dimension) sums of the first answers' facts."""
-    chosen = book[np.arange(book.shape[0])[None, :], scored - 1].astype(np.int16)
-    return np.cumsum(chosen, axis=1)[:, np.array(widths) - 1].astype(np.int64)
+    """(respondents, widths, dimension) sums of the first answers' facts: one running sum, copied at each width."""
+    out = np.empty((len(scored), len(widths), book.shape[2]), np.int64)
+    total, at = np.zeros((len(scored), book.shape[2]), np.int16), 0
+    for width in sorted(set(widths)):
+        for i in range(at, width):
+            total += book[i][scored[:, i] - 1]
+        at = width
+        for k in np.flatnonzero(np.array(widths) == width):
+            out[:, k] = total
+    return out
+
+
+def _some(batches, rows: int = 256):
+    """Batches cut to a bounded number of respondents, so that their bundles stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def bundles(profiles: DataFrame, seeds, dimension: int = DIMENSION, widths=WIDTHS) -> DataFrame:
     """(seed, vid, width, vector): a respondent's prefix bundles."""
-    books = {s: fact_vectors(profiles.sparkSession, s, dimension) for s in seeds}
+    books = shared_books(profiles.sparkSession, seeds, None, dimension)
 
     def run(batches):
-        for batch in batches:
+        for batch in _some(batches):
             vid, scored = batch.column(0), batch.column(1).flatten().to_numpy().reshape(-1, ITEMS)
-            for seed, book in books.items():
+            for seed, book in books.value.items():
                 made = prefixes(book, scored, widths)
                 n = len(scored) * len(widths)
                 vectors = pa.FixedSizeListArray.from_arrays(pa.array(made.reshape(-1).astype(np.int16)), dimension).cast(pa.list_(pa.int16()))
                 yield pa.record_batch([pa.array(np.full(n, seed, np.int32)), pa.array(np.repeat(vid.to_numpy(), len(widths))), pa.array(np.tile(np.array(widths, np.int32), len(scored))), vectors], ["seed", "vid", "width", "vector"])
 
-    return profiles.mapInArrow(run, "seed int, vid long, width int, vector array<smallint>")
+    return profiles.select("vid", "levels").mapInArrow(run, "seed int, vid long, width int, vector array<smallint>")
 
 
 def readouts(profiles: DataFrame, seeds, dimension: int = DIMENSION, widths=WIDTHS, books: dict | None = None) -> DataFrame:
     """(seed, width, vid, pos, true_level, squared, dots): the five levels' dot products for every item of every bundle."""
-    books = books or {s: fact_vectors(profiles.sparkSession, s, dimension) for s in seeds}
+    books = shared_books(profiles.sparkSession, seeds, books, dimension)
 
     def run(batches):
-        for batch in batches:
+        for batch in _some(batches):
             vid, scored = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, ITEMS)
-            for seed, book in books.items():
+            for seed, book in books.value.items():
                 made = prefixes(book, scored, widths)
                 squared = np.square(made).sum(axis=2)
                 flat = book.reshape(-1, dimension).astype(np.float32)
@@ -97,7 +116,7 @@ def readouts(profiles: DataFrame, seeds, dimension: int = DIMENSION, widths=WIDT
                         pa.array(np.repeat(squared[:, k], width)), pa.FixedSizeListArray.from_arrays(pa.array(dots.reshape(-1)), LEVELS).cast(pa.list_(pa.int64())),
                     ], ["seed", "width", "vid", "pos", "true_level", "squared", "dots"])
 
-    return profiles.mapInArrow(run, "seed int, width int, vid long, pos int, true_level int, squared long, dots array<long>")
+    return profiles.select("vid", "levels").mapInArrow(run, "seed int, width int, vid long, pos int, true_level int, squared long, dots array<long>")
 
 
 def cleaned(found: DataFrame) -> DataFrame:
@@ -108,41 +127,49 @@ def cleaned(found: DataFrame) -> DataFrame:
 
 
 def changed(answered: DataFrame, seed_label: str, shares: dict[str, float], variants: int, widths=WIDTHS) -> DataFrame:
-    """(width, condition, variant, vid, pos, old, new): answers moved by one step at hash-ranked positions.
+    """(width, condition, variant, vid, levels, pos, old, new) of respondents (vid, raw, levels): answers moved by one step at hash-ranked positions.
 
-    round(width * share) positions a variant; the end answers move inward, others by the hash's parity.
+    round(width * share) positions a variant; the end answers move inward, others by the hash's parity. All in
+    a respondent's own row.
     """
     spark = answered.sparkSession
     rows = [(w, c, v, round(w * s)) for w in widths for c, s in shares.items() for v in range(variants)]
     design = spark.createDataFrame(rows, "width int, condition string, variant int, moves int")
-    spread = answered.join(F.broadcast(design), F.col("pos") <= F.col("width"))  # a fixed design
-    label = F.concat_ws("|", F.lit(seed_label), *(F.col(c).cast("string") for c in ("vid", "width", "condition", "variant", "pos")))
-    spread = spread.withColumn("h", F.sha2(label, 256))
-    ranked = F.array_sort(F.collect_list(F.struct("h", "pos", "raw", "key")))
-    picked = spread.groupBy("width", "condition", "variant", "vid", "moves").agg(ranked.alias("x")).select("width", "condition", "variant", "vid", F.explode(F.slice("x", F.lit(1), F.col("moves"))).alias("x"))
-    even = F.conv(F.substring("x.h", 64, 1), 16, 10).cast("int") % 2 == 0
-    step = F.when(F.col("x.raw") == 1, 1).when(F.col("x.raw") == 5, -1).when(even, 1).otherwise(-1)
-    scored = lambda raw: F.when(F.col("x.key") == "-", 6 - raw).otherwise(raw)
-    return picked.select("width", "condition", "variant", "vid", F.col("x.pos").alias("pos"), scored(F.col("x.raw")).alias("old"), scored(F.col("x.raw") + step).alias("new"))
-
-
-def perturbed(profiles: DataFrame, changes: DataFrame, seed: int, dimension: int = DIMENSION, widths=WIDTHS, book: np.ndarray | None = None) -> DataFrame:
-    """(width, condition, variant, vid, changed, dot, base_squared, new_squared, ideal): bundles updated by their changed facts."""
-    book = fact_vectors(profiles.sparkSession, seed, dimension) if book is None else book
-    moved = changes.groupBy("width", "condition", "variant", "vid").agg(F.collect_list(F.struct("pos", "old", "new")).alias("m"))
-    joined = moved.join(profiles, "vid").select("width", "condition", "variant", "vid", "levels", F.col("m.pos").alias("pos"), F.col("m.old").alias("old"), F.col("m.new").alias("new"))
-    gram = np.einsum("ild,imd->ilm", book.astype(np.int64), book.astype(np.int64))[0]
+    spread = answered.join(F.broadcast(design))  # a fixed design
+    label = lambda pos: F.concat_ws("|", F.lit(seed_label), *(F.col(c).cast("string") for c in ("vid", "width", "condition", "variant")), pos.cast("string"))
+    ranked = F.transform(F.sequence(F.lit(1), F.col("width")), lambda pos: F.struct(F.sha2(label(pos), 256).alias("h"), pos.alias("pos")))
+    spread = spread.withColumn("x", F.slice(F.array_sort(ranked), F.lit(1), F.col("moves")))
+    raw = lambda x: F.element_at("raw", x["pos"])
+    even = lambda x: F.conv(F.substring(x["h"], 64, 1), 16, 10).cast("int") % 2 == 0
+    step = lambda x: F.when(raw(x) == 1, 1).when(raw(x) == 5, -1).when(even(x), 1).otherwise(-1)
+    scored = lambda x, value: F.when(x["pos"] % 2 == 0, 6 - value).otherwise(value)  # noqa: E731  even positions are keyed backward
+    return spread.select(
+        "width", "condition", "variant", "vid", "levels", F.transform("x", lambda x: x["pos"]).alias("pos"),
+        F.transform("x", lambda x: scored(x, raw(x))).alias("old"), F.transform("x", lambda x: scored(x, raw(x) + step(x))).alias("new"),
+    )
+
+
+def perturbed(changes: DataFrame, seed: int, dimension: int = DIMENSION, widths=WIDTHS, book: np.ndarray | None = None) -> DataFrame:
+    """(width, condition, variant, vid, changed, dot, base_squared, new_squared, ideal) of changes (width, condition, variant, vid, levels, pos, old, new): bundles updated by their changed facts."""
+    books = shared_books(changes.sparkSession, (seed,), None if book is None else {seed: book}, dimension)
+    changes = changes.select("width", "condition", "variant", "vid", "levels", "pos", "old", "new")
 
     def run(batches):
-        for batch in batches:
+        book = books.value[seed]
+        gram = np.einsum("ld,md->lm", book[0].astype(np.int64), book[0].astype(np.int64))
+        for batch in _some(batches):
             out = []
             scored = batch.column(4).flatten().to_numpy().reshape(-1, ITEMS)
-            made = prefixes(book, scored, widths)
+            # Rows of one respondent stand together and share their prefixes.
+            known, made = None, None
+            vids = batch.column(3).to_pylist()
             for k, (width, pos, old, new) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 5, 6, 7)), strict=True)):
+                if known is None or vids[k] != known:
+                    known, made = vids[k], prefixes(book, scored[k : k + 1], widths)[0]
                 p, o, n = np.array(pos, int) - 1, np.array(old, int) - 1, np.array(new, int) - 1
-                base = made[k, widths.index(width)]
+                base = made[widths.index(width)]
                 after = base + (book[p, n].astype(np.int64) - book[p, o]).sum(axis=0)
                 out.append((len(p), int(base @ after), int(base @ base), int(after @ after), int((width - len(p)) * dimension + gram[o, n].sum())))
             yield pa.record_batch([*(batch.column(i) for i in range(4)), *(pa.array([x[i] for x in out], pa.int64()) for i in range(5))], ["width", "condition", "variant", "vid", "changed", "dot", "base_squared", "new_squared", "ideal_dot"])
 
-    return joined.mapInArrow(run, "width int, condition string, variant int, vid long, changed long, dot long, base_squared long, new_squared long, ideal_dot long")
+    return changes.mapInArrow(run, "width int, condition string, variant int, vid long, changed long, dot long, base_squared long, new_squared long, ideal_dot long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,15 +74,23 @@ def record_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(found: DataFrame, records: DataFrame, dimension: int, seed: int) -> DataFrame:
-    """Adds dot and cosine to pairs (i, j, k): a dot product from the 25 pairs of facts."""
-    book = pairs.encoded(records, dimension, seed).select("id", "facts")
-    n = dimension // 32
-    part = lambda c, i: F.slice(c, i * n + 1, n)
-    total = lambda a, b: sum(vectors.packed_dot(part(a, i), part(b, j), dimension) for i in range(5) for j in range(5))
-    sized = book.withColumn("squared", total(F.col("facts"), F.col("facts")))
-    joined = found.join(sized.select(F.col("id").alias("i"), F.col("facts").alias("fi"), F.col("squared").alias("si")), "i").join(sized.select(F.col("id").alias("j"), F.col("facts").alias("fj"), F.col("squared").alias("sj")), "j")
-    joined = joined.withColumn("dot", total(F.col("fi"), F.col("fj")))
-    return joined.select("i", "j", "k", "dot", vectors.cosine(F.col("dot"), F.col("si"), F.col("sj")).alias("cosine"))
+    """Adds dot and cosine to pairs (i, j, k), from the facts' Gram matrix and the records' fact numbers."""
+    spark = records.sparkSession
+    facts = pairs.fact_codebook(occurrences(records), dimension, seed).orderBy("role", "value").limit(pairs.MAX_FACTS + 1).collect()
+    if len(facts) > pairs.MAX_FACTS:
+        raise ValueError(f"more than {pairs.MAX_FACTS} different facts")
+    gram, codes = spark.sparkContext.broadcast(pairs.gram_of(facts, dimension)), pairs.coded(records, facts)
+    joined = found.join(codes.select(F.col("id").alias("i"), F.col("codes").alias("a")), "i").join(codes.select(F.col("id").alias("j"), F.col("codes").alias("b")), "j")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (3, 4))
+            total = lambda x, y: gram.value[x[:, :, None], y[:, None, :]].sum(axis=(1, 2)).astype(np.int64)
+            dot = total(a, b)
+            cosine = dot / (np.sqrt(total(a, a).astype(np.float64)) * np.sqrt(total(b, b).astype(np.float64)))
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(dot), pa.array(cosine)], ["i", "j", "k", "dot", "cosine"])
+
+    return joined.select("i", "j", "k", "a", "b").mapInArrow(run, "i long, j long, k int, dot long, cosine double")
 
 
 def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +132,11 @@ def trial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.summarize(_trials(spark, sf_dir)).select("dimension", "n", "trials", "highest_unrelated_max", *(f"{c}{q}{e}" for q in theory.MATCHES for c, e in (("false_pairs_", "_mean"), ("dataset_with_false_", ""), ("search_with_false_", ""), ("miss_rate_", ""))))
+    """Measured figures of the trials beside the predicted ones; means and chances rounded, as engines sum and exponentiate differently."""
+    found = pairs.summarize(_trials(spark, sf_dir)).drop("threshold_1", "threshold_2", "pairs", "unrelated_pairs")
+    for c in ("highest_unrelated_mean", *(f"{x}_chance_{q}" for x in ("dataset", "search") for q in theory.MATCHES)):
+        found = found.withColumn(c, F.round(c, 12))
+    return found.withColumn("storage_bytes_per_record", F.col("storage_bytes_per_record").cast("long"))
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +301,15 @@ def _shares_sql() -> str:
     return " UNION ALL ".join(f"SELECT {k}::INT AS k, {s} AS share FROM cards" for k, s in enumerate(shares))
 
 
+def _tail(q: int) -> str:
+    return f"{theory.tail_probability(theory.threshold(q, DIMENSION), DIMENSION)!r}::DOUBLE"
+
+
+def _chance(expected: str) -> str:
+    """1 - exp(-x), by its series where x is small."""
+    return f"round(CASE WHEN {expected} < 1e-5 THEN {expected} - {expected} * {expected} / 2 ELSE 1 - exp(-{expected}) END, 12)"
+
+
 ORACLE = {
     "overlap_distribution": f"WITH {_RECS} SELECT g.k::INT AS k, count(p.i) AS pairs FROM (SELECT unnest(range(6)) AS k) g LEFT JOIN (SELECT a.id AS i, {_SHARED} AS k FROM recs a JOIN recs b ON a.id < b.id) p ON p.k = g.k GROUP BY g.k",
     "overlap_by_size": f"{_WITH}, {_COUNTS} SELECT * FROM counted",
@@ -300,7 +323,7 @@ ORACLE = {
     "missed_matches": f"{_WITH}, {_pairs_sql(0)} SELECT 1 AS q, i, j, score FROM pairs WHERE k >= 1 AND score < {_T1} UNION ALL SELECT 2, i, j, score FROM pairs WHERE k >= 2 AND score < {_T2}",
     "search_hits": f"{_WITH}, {_pairs_sql(0)} SELECT id, count(*) AS false_hits FROM (SELECT unnest([i, j]) AS id FROM pairs WHERE k = 0 AND score >= {_T1}) GROUP BY id",
     "trial_rows": f"{_WITH}, {_BOTH} {_TRIALS}",
-    "trial_summary": f"{_WITH}, {_BOTH}, trials AS ({_TRIALS}) SELECT dimension, n, count(*) AS trials, max(highest_unrelated) AS highest_unrelated_max, " + ", ".join(f"sum(false_pairs_{q})::DOUBLE / count(*) AS false_pairs_{q}_mean, count(*) FILTER (false_pairs_{q} > 0)::DOUBLE / count(*) AS dataset_with_false_{q}, sum(searches_with_false_{q})::DOUBLE / (count(*) * n) AS search_with_false_{q}, sum(misses_{q})::DOUBLE / sum(true_pairs_{q})::DOUBLE AS miss_rate_{q}" for q in theory.MATCHES) + " FROM trials GROUP BY dimension, n",
+    "trial_summary": f"{_WITH}, {_BOTH}, trials AS ({_TRIALS}) SELECT dimension, n, count(*) AS trials, round(avg(highest_unrelated), 12) AS highest_unrelated_mean, max(highest_unrelated) AS highest_unrelated_max, dimension::BIGINT AS storage_bytes_per_record, " + ", ".join(f"sum(false_pairs_{q})::DOUBLE / count(*) AS false_pairs_{q}_mean, count(*) FILTER (false_pairs_{q} > 0)::DOUBLE / count(*) AS dataset_with_false_{q}, sum(searches_with_false_{q})::DOUBLE / (count(*) * n) AS search_with_false_{q}, sum(misses_{q})::DOUBLE / sum(true_pairs_{q})::DOUBLE AS miss_rate_{q}, {_tail(q)} AS p_{q}, max(unrelated_pairs) * {_tail(q)} AS expected_false_pairs_{q}, {_chance(f'(max(unrelated_pairs) * {_tail(q)})')} AS dataset_chance_{q}, {_chance(f'(2 * (max(unrelated_pairs) * {_tail(q)}) / n)')} AS search_chance_{q}" for q in theory.MATCHES) + " FROM trials GROUP BY dimension, n",
     "score_histogram": f"{_WITH}, {_pairs_sql(0)}, {_HISTOGRAM} SELECT k::INT AS k, bin::INT AS bin, pairs FROM histogram",
     "histogram_nonempty": f"{_WITH}, {_pairs_sql(0)}, {_HISTOGRAM} SELECT k::INT AS k, (2 * bin + 1) * 0.00125::DOUBLE - 0.3::DOUBLE AS score, pairs, pairs::DOUBLE / total AS share FROM (SELECT *, sum(pairs) OVER (PARTITION BY k) AS total FROM histogram) WHERE pairs > 0",
     "role_unbind_recovery": f"{_WITH}, {_book(GRAM_DIMENSION, 0)}, scores AS (SELECT o.id, b.value, sum({_dot('f.words', 'b.words', GRAM_DIMENSION)})::BIGINT AS dot FROM occ o JOIN book f USING (role, value) CROSS JOIN book b WHERE b.role = 2 GROUP BY o.id, b.value), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dot DESC, value) AS r FROM scores) SELECT b.id, b.value AS recovered, b.dot, b.value = recs.f2 AS correct FROM best b JOIN recs USING (id) WHERE r = 1",

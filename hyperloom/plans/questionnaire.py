@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.functions import vectors
 from hyperloom.operators import geometry, readout
-from hyperloom.sources.answers import ITEMS, WIDTHS, answers, items, profiles
+from hyperloom.sources.answers import ITEMS, WIDTHS, answer_arrays, answers, items
 
 SEEDS = (11, 23)
 D = readout.DIMENSION
@@ -56,7 +56,7 @@ def level_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Off-diagonal key cosines, and whether neighbouring levels are always closer than levels three apart."""
+    """Off-diagonal key cosines, the cosines of all pairs of levels, and whether neighbouring levels are always closer than levels three apart."""
 
     def build(seed):
         book = readout.keys(spark, seed)
@@ -64,12 +64,16 @@ def key_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         dot = F.abs(vectors.packed_dot(F.col("a.words"), F.col("b.words"), D))
         return pairs.agg((F.sum(dot) / (F.count("*") * D)).alias("mean_absolute"), (F.max(dot) / D).alias("max_absolute"))
 
-    ordered = level_cosines(spark, sf_dir).groupBy("seed").agg((F.min(F.when(F.col("level_b") - F.col("level_a") == 1, F.col("cosine"))) > F.max(F.when(F.col("level_b") - F.col("level_a") == 3, F.col("cosine")))).alias("levels_ordered"))
-    return _per_seed(build).join(ordered, "seed")
+    between = level_cosines(spark, sf_dir)
+    gap = F.col("level_b") - F.col("level_a")
+    pick = lambda a, b: F.max(F.when((F.col("level_a") == a) & (F.col("level_b") == b), F.col("cosine"))).alias(f"level_{a}_{b}_cosine")
+    ordered = F.min(F.when(gap == 1, F.col("cosine"))) > F.max(F.when(gap == 3, F.col("cosine")))
+    columns = between.groupBy("seed").agg(ordered.alias("levels_ordered"), *(pick(a, b) for a in range(1, 6) for b in range(a + 1, 6)))
+    return _per_seed(build).join(columns, "seed")
 
 
 def _bundles(spark, sf_dir, seeds=SEEDS) -> DataFrame:
-    return readout.bundles(profiles(answers(spark, sf_dir)), seeds)
+    return readout.bundles(answer_arrays(spark, sf_dir), seeds)
 
 
 def profile_bundles_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def profile_bundles_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark, sf_dir) -> DataFrame:
-    return readout.cleaned(readout.readouts(profiles(answers(spark, sf_dir)), SEEDS))
+    return readout.cleaned(readout.readouts(answer_arrays(spark, sf_dir), SEEDS))
 
 
 def item_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +108,7 @@ def recovery_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleanup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest levels of the first, middle and last item of every full profile: all five, by cosine distance, then level."""
-    found = readout.readouts(profiles(answers(spark, sf_dir)), SEEDS[:1], widths=(ITEMS,)).where(F.col("pos").isin(1, 1 + ITEMS // 2, ITEMS))
+    found = readout.readouts(answer_arrays(spark, sf_dir), SEEDS[:1], widths=(ITEMS,)).where(F.col("pos").isin(1, 1 + ITEMS // 2, ITEMS))
     ordered = F.array_sort(F.transform("dots", lambda x, i: F.struct((-x).alias("d"), (i + 1).cast("int").alias("level"))))
     rows = found.select("vid", "pos", "squared", F.posexplode(ordered).alias("rank", "x"))
     cosine = -F.col("x.d") / (F.sqrt(F.col("squared").cast("double")) * F.lit(float(D) ** 0.5))
@@ -116,17 +120,15 @@ def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geometry_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profiles(answers(spark, sf_dir))
-    return geometry.agreement(geometry.compare(found, SEEDS, WIDTHS), geometry.neighbours(found, SEEDS, WIDTHS)).withColumn("spearman", F.round("spearman", 12))
+    return geometry.agreement(answer_arrays(spark, sf_dir), SEEDS, WIDTHS).withColumn("spearman", F.round("spearman", 12))
 
 
 def neighbor_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.neighbours(profiles(answers(spark, sf_dir)), SEEDS[:1], WIDTHS).where("reference = 'bundle'").select("width", "a", "rank", "b")
+    return geometry.neighbours(answer_arrays(spark, sf_dir), SEEDS[:1], WIDTHS).where("reference = 'bundle'").select("width", "a", "rank", "b")
 
 
 def _perturbed(spark, sf_dir) -> DataFrame:
-    answered = answers(spark, sf_dir)
-    found = readout.perturbed(profiles(answered), readout.changed(answered, PERTURB, SHARES, VARIANTS), SEEDS[0])
+    found = readout.perturbed(readout.changed(answer_arrays(spark, sf_dir), PERTURB, SHARES, VARIANTS), SEEDS[0])
     cosine = vectors.cosine(F.col("dot"), F.col("base_squared"), F.col("new_squared"))
     return found.withColumn("bundle_cosine", cosine).withColumn("ideal_cosine", F.col("ideal_dot") / (F.col("width") * D))
 
@@ -243,7 +245,7 @@ ORACLE = {
     "response_integrity": _with(_ANS) + ", c AS (SELECT count(*) - count(DISTINCT (vid, pos)) AS repeated, count(DISTINCT vid) * 50 - count(DISTINCT (vid, pos)) AS missing, count(*) FILTER (raw NOT BETWEEN 1 AND 5) AS out_of_range, count(*) FILTER (CASE WHEN key = '-' THEN 6 - scored ELSE scored END <> raw) AS not_involution FROM ans) UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE violations",
     "factor_balance": _with(_ANS) + "SELECT factor, count(DISTINCT pos) AS items, count(DISTINCT pos) FILTER (key = '+') AS forward, sum(scored)::DOUBLE / count(*) AS mean_scored FROM ans GROUP BY factor",
     "level_cosines": _with(_facts_sql(SEEDS)) + f"SELECT seed, a.level AS level_a, b.level AS level_b, {_DOT.format('a.v', 'b.v')} / {D}::DOUBLE AS cosine FROM levels a JOIN levels b USING (seed) WHERE a.level < b.level",
-    "key_diagnostics": _with(_facts_sql(SEEDS)) + f", k AS (SELECT seed, abs({_DOT.format('a.v', 'b.v')}) AS dot FROM keys a JOIN keys b USING (seed) WHERE a.pos < b.pos), l AS (SELECT seed, b.level - a.level AS apart, {_DOT.format('a.v', 'b.v')} AS dot FROM levels a JOIN levels b USING (seed) WHERE a.level < b.level) SELECT seed, mean_absolute, max_absolute, levels_ordered FROM (SELECT seed, sum(dot)::DOUBLE / (count(*) * {D}) AS mean_absolute, max(dot)::DOUBLE / {D} AS max_absolute FROM k GROUP BY seed) JOIN (SELECT seed, min(dot) FILTER (apart = 1) > max(dot) FILTER (apart = 3) AS levels_ordered FROM l GROUP BY seed) USING (seed)",
+    "key_diagnostics": _with(_facts_sql(SEEDS)) + f", k AS (SELECT seed, abs({_DOT.format('a.v', 'b.v')}) AS dot FROM keys a JOIN keys b USING (seed) WHERE a.pos < b.pos), l AS (SELECT seed, a.level AS la, b.level AS lb, b.level - a.level AS apart, {_DOT.format('a.v', 'b.v')} AS dot FROM levels a JOIN levels b USING (seed) WHERE a.level < b.level) SELECT * FROM (SELECT seed, sum(dot)::DOUBLE / (count(*) * {D}) AS mean_absolute, max(dot)::DOUBLE / {D} AS max_absolute FROM k GROUP BY seed) JOIN (SELECT seed, min(dot) FILTER (apart = 1) > max(dot) FILTER (apart = 3) AS levels_ordered, " + ", ".join(f"max(dot) FILTER (la = {a} AND lb = {b})::DOUBLE / {D} AS level_{a}_{b}_cosine" for a in range(1, 6) for b in range(a + 1, 6)) + " FROM l GROUP BY seed) USING (seed)",
     "profile_bundles_by_width": _with(*_ALL[:3], _BUNDLES) + "SELECT seed, vid, width, sum(x * x)::BIGINT AS squared_length, sum(x)::BIGINT AS total, min(x)::INT AS least, max(x)::INT AS most FROM summed GROUP BY seed, vid, width",
     "item_readouts": _with(*_ALL, _READOUTS) + "SELECT seed, width, vid, pos, true_level, predicted, best, second, predicted = true_level AS correct, abs(predicted - true_level) AS ordinal_error FROM outs",
     "recovery_by_seed": _with(*_ALL, _READOUTS) + _RECOVERY,

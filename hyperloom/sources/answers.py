@@ -30,6 +30,14 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("scored", reverse_scored(F.col("raw"), F.col("key")))
 
 
+def answer_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vid, raw, levels): the same answers as arrays in position order, a respondent a row, without a shuffle."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    level = lambda x: F.least(F.lit(5), F.greatest(F.lit(1), F.floor((x.cast("double") + 0.3) / 0.12).cast("int") + 1))
+    raw = table.select(F.col("vec_id").alias("vid"), F.transform(F.slice("embedding", 1, ITEMS), level).alias("raw"))
+    return raw.select("vid", "raw", F.transform("raw", lambda x, i: F.when(i % 2 == 1, 6 - x).otherwise(x)).alias("levels"))
+
+
 def profiles(answered: DataFrame) -> DataFrame:
     """(vid, levels): each respondent's scored answers in position order."""
     return answered.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("pos", "scored"))).alias("x")).select("vid", F.col("x.scored").alias("levels"))
