@@ -53,6 +53,25 @@ def items(table: DataFrame, count: int = 50, factors: int = 5) -> DataFrame:
     )
 
 
+def named_items(table: DataFrame, names: list[str]) -> DataFrame:
+    """Names and fixed keys of an item table: factor names in turn, Q19 plus, Q49 minus, no blank statement (where there are any)."""
+    name = F.element_at(F.lit(names), F.col("factor_id").cast("int"))
+    rules = {"wrong_factor_name": F.count_if(F.col("factor_name").isNull() | (F.col("factor_name") != name)), "q19_not_plus": 1 - F.count_if((F.col("item_id") == "Q19") & (F.col("key_direction") == "+")), "q49_not_minus": 1 - F.count_if((F.col("item_id") == "Q49") & (F.col("key_direction") == "-"))}
+    if "statement" in table.columns:
+        rules["blank_statements"] = F.count_if(F.col("statement").isNull() | (F.trim("statement") == ""))
+    return counted(table, **rules)
+
+
+def profile_count(table: DataFrame, count: int, profile: str = "profile_id") -> DataFrame:
+    """As many different profiles as there should be."""
+    return counted(table, wrong_profile_count=F.abs(F.count_distinct(profile) - count))
+
+
+def agreed(table: DataFrame) -> DataFrame:
+    """Settings (name, wanted, found) that differ."""
+    return counted(table, unequal_settings=F.count_if(~F.col("wanted").eqNullSafe(F.col("found"))))
+
+
 def responses(table: DataFrame, profiles: DataFrame, item_table: DataFrame, profile: str = "profile_id", item: str = "item_id", raw: str = "raw_answer") -> DataFrame:
     """Exactly one response for each profile and item, none besides, all within 1 to 5."""
     own = counted(table, repeated=F.count("*") - F.count_distinct(profile, item), out_of_range=F.count_if(~F.col(raw).between(1, 5) | F.col(raw).isNull()))

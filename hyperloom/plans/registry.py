@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hyperloom.plans import checks, collision, questionnaire, storage
+from hyperloom.plans import checks, collision, questionnaire, rules, storage
 
-PLANS = (collision, questionnaire, checks, storage)
+PLANS = (collision, questionnaire, checks, storage, rules)
 
 
 def queries() -> dict:

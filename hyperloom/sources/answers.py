@@ -61,6 +61,7 @@ GENERATOR_SEED = "hyp84-questionnaire-v1"
 FEATURED_ANCHORS = (4, 3, 5, 2, 4)
 KEYS = "+-+-+-+-+-+-+-+-+-+-+-+-+-+---+-+-+-+--++++-+-++-+"
 PROFILES = 31
+FACTOR_NAMES = ("Extraversion", "Agreeableness", "Conscientiousness", "Emotional Stability", "Intellect/Imagination")
 
 
 def stable_byte(*parts):
@@ -83,9 +84,10 @@ def raw_answer(profile, item, anchored, key):
 
 
 def study_items(spark: SparkSession) -> DataFrame:
-    """(item_id, position, factor_id, key_direction) of the published questionnaire."""
+    """(item_id, position, factor_id, factor_name, key_direction) of the published questionnaire."""
     pos = F.col("id").cast("int")
-    return spark.range(1, ITEMS + 1).select(F.format_string("Q%02d", pos).alias("item_id"), pos.cast("short").alias("position"), ((pos - 1) % FACTORS + 1).alias("factor_id"), F.substring(F.lit(KEYS), pos, F.lit(1)).alias("key_direction"))
+    factor = (pos - 1) % FACTORS + 1
+    return spark.range(1, ITEMS + 1).select(F.format_string("Q%02d", pos).alias("item_id"), pos.cast("short").alias("position"), factor.alias("factor_id"), F.element_at(F.lit(list(FACTOR_NAMES)), factor).alias("factor_name"), F.substring(F.lit(KEYS), pos, F.lit(1)).alias("key_direction"))
 
 
 def study_profiles(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,9 +13,34 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the store that driver and executors share; a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='hyperloom-')}/{uuid.uuid4().hex}"
+    """A new folder name in the store that driver and executors share, deleted with the process.
+
+    A local one is made on a single machine only; a cluster without a shared folder is an error.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = known.get() if known.isDefined() else None
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="hyperloom-")
+    path = f"{shared}/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit
+        return
+
+
+def write_table(frame: DataFrame, path: str, schema: T.StructType) -> None:
+    """A plain table (items, responses) under a fixed schema; raises where a column is missing."""
+    write_parquet(frame.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)), path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
