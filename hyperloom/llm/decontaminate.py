@@ -230,14 +230,23 @@ def _segments(batches):
         yield pa.record_batch([pa.array(range(len(found)), pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["segment", "words"])
 
 
+def _asked(items: DataFrame) -> DataFrame:
+    """The items that have a text: item_id, text, answer (null without such a column)."""
+    answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
+    return items.select("item_id", F.col("text"), answer.alias("answer")).where("length(text) > 0")
+
+
+def _size(items: DataFrame) -> int:
+    """Characters of items (text, answer)."""
+    return items.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))).alias("chars")).first().chars or 0
+
+
 def shards(items: DataFrame):
     """The indexes of a benchmark (item_id, text and, if there, answer), each of about MAX_SHARD characters, one at a time."""
     spark = items.sparkSession
-    answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
-    items = items.select("item_id", F.col("text"), answer.alias("answer")).where("length(text) > 0")
+    items = _asked(items)
     cut = items.select("text", "answer").mapInArrow(_segments, SEGMENTS)
-    total = items.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))).alias("chars")).first().chars or 0
-    parts = max(1, -(-total // MAX_SHARD))
+    parts = max(1, -(-_size(items) // MAX_SHARD))
     if parts > 1:
         cut = Work(spark, "benchmark").keep(cut)
     counts = cut.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
@@ -245,7 +254,8 @@ def shards(items: DataFrame):
         return
     df = cut.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("text", "answer"), F.lit(parts)) == part)
+        # Items of one text are spread by their ids, repeated rows are indexed once.
+        own = items.where(F.pmod(F.xxhash64("text", "answer", F.col("item_id").cast("string")), F.lit(parts)) == part).distinct()
         rows = [Item(x.item_id, x.text, x.answer) for x in own.orderBy("text", "answer", F.col("item_id").cast("string")).toLocalIterator()]
         rows = [x for x in rows if len(x.words)]
         if not rows:
@@ -307,8 +317,7 @@ def _passes(docs: DataFrame, items: DataFrame, theta: float, work: Work) -> Data
 
 def _one_shard(items: DataFrame) -> Index | None | bool:
     """The index of a benchmark of one shard, None of an empty one; False of a larger one."""
-    first = items.agg(F.sum(F.length("text")).alias("chars")).first().chars or 0
-    return False if first > MAX_SHARD else next(shards(items), None)
+    return False if _size(_asked(items)) > MAX_SHARD else next(shards(items), None)
 
 
 OUT = ("doc_id", "contaminated", "item_ids", "best_score", "best_overlap")

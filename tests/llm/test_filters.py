@@ -111,6 +111,20 @@ def test_documents_match_a_plain_scan(spark, monkeypatch):
     assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {i for i, x in want.items() if not x}
 
 
+def test_answers_count_towards_a_shard(spark, monkeypatch):
+    """A benchmark that only its answers make larger than a shard, and one of a repeated text, lose no item."""
+    items, word = benchmark_rows(12, seed=9)
+    rows = [(k, t, " ".join(word() for _ in range(20))) for k, (_, t) in enumerate(items)]
+    rows += [(20 + k, *rows[0][1:]) for k in range(6)] + rows[:2]
+    monkeypatch.setattr(dc, "MAX_SHARD", sum(len(t) for _, t, _ in rows) + 1)
+    bench = spark.createDataFrame(rows, "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(k, f"{t} {a}") for k, t, a in rows[:12]] + [(100, " ".join(word() for _ in range(40)))], "doc_id long, text string")
+    want = {k: [k] for k in range(1, 12)} | {0: [0, *range(20, 26)], 100: []}
+    assert len(list(dc.shards(bench))) > 1
+    assert {r.doc_id: list(r.item_ids) for r in dc.decontaminate(docs, bench).collect()} == want
+    assert [r.doc_id for r in dc.clean(docs, bench).collect()] == [100]
+
+
 def test_items_without_an_id_and_scripts_without_spaces(spark):
     draw = np.random.default_rng(1)
     text = lambda n: "".join(chr(0x4E00 + int(i)) for i in draw.integers(0, 2000, n))
