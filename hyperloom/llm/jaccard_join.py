@@ -62,6 +62,8 @@ FIRST = 3
 RANGE, LARGE, LEVELS = 4096, 1 << 18, 3
 #: Texts and tokens of a range of the exact check, at most (one longer text is a range of its own).
 BLOCK, BLOCK_TOKENS = 2048, 1 << 20
+#: Pairs of texts in a tile of a comparison, and tokens shared by two texts that are counted at once.
+CELLS, MEETINGS = 1 << 19, 1 << 18
 #: Parts into which rows of one path or component are dealt where they meet its counts.
 SALTS = 16
 #: Documents up to which a bucket is compared one by one.
@@ -131,10 +133,11 @@ def _describe(threshold: float, recall: float):
 # ------------------------------------------------------------------------------ comparison
 
 
-def overlap_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, rows: int = 512, width: int = 1024):
-    """(rows of left, sizes of the intersections of their sets with those of right), some rows at once.
+def overlap_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, rows: int | None = None, width: int = 512):
+    """(rows of left, sizes of the intersections of their sets with those of right), some rows at once: CELLS pairs, if not told.
 
-    Tokens that few sets share are counted pair by pair, the others by products of 0/1 matrices.
+    Tokens that few sets share are counted pair by pair, the others by products of 0/1 matrices. A tile and what is
+    made of it stays within a few MB an array, since every core of an executor has a worker that holds some.
     """
     both = np.union1d(left, right)
     values = np.concatenate([sets[k] for k in both])
@@ -142,15 +145,18 @@ def overlap_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, r
     _, code, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = times[code] > 1
     code, owner = code[shared], owner[shared]
+    del values, shared
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
     code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
+    del order
     place = np.full(len(sets), -1)
     place[right] = np.arange(len(right))
     on_right = place[owner] >= 0
     code_r, owner_r = code[on_right], place[owner[on_right]]
     n = int(code[-1]) + 1 if len(code) else 0
     ends = np.searchsorted(code_r, np.arange(n + 1))
+    rows = rows or max(1, CELLS // max(1, len(right)))
     for lo in range(0, len(left), rows):
         own = left[lo : lo + rows]
         at = np.full(len(sets), -1)
@@ -165,7 +171,7 @@ def overlap_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, r
         upto = np.cumsum(per[c])
         start = 0
         while start < len(c):  # a bounded number of pairs at once
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (1 << 21), "right")))
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + MEETINGS, "right")))
             k = per[c[start:stop]]
             index = np.repeat(ends[c[start:stop]] - np.cumsum(k) + k, k) + np.arange(k.sum())
             out += np.bincount(np.repeat(a[start:stop], k) * len(right) + owner_r[index], minlength=out.size).reshape(out.shape)

@@ -1,6 +1,7 @@
 """The chosen-path join against all pairs."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,21 @@ def test_overlaps_match_sets():
                 assert all(n == len(np.intersect1d(sets[i], sets[j])) for j, n in zip(right, row, strict=True) if i != j)
 
 
+def test_a_full_cell_takes_bounded_memory():
+    """Two ranges of RANGE documents that share frequent tokens, and the links among them."""
+    draw = np.random.default_rng(1)
+    pool, n = np.sort(draw.choice(2**31, 200, replace=False)).astype(np.uint32), jj.RANGE
+    rows = [(b, b * n + k, b * n + k, 300, np.unique(np.concatenate([draw.choice(pool, 40), draw.integers(0, 2**31, 30).astype(np.uint32)]))) for b in range(2) for k in range(n)]
+    rows[n + 7] = (*rows[n + 7][:4], rows[3][4])
+    left, right = jj._sides(rows, 0, 1)
+    tracemalloc.start()
+    try:
+        assert list(jj._in_tiles(rows, left, right, jj.THRESHOLD)) == [(3, n + 7)]
+        assert tracemalloc.get_traced_memory()[1] < 128 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_odd_rows(spark):
     docs = [(r[0], r[1]) for r in cases.rows()]
     assert result(spark, docs) == brute(docs)
